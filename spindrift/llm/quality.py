@@ -1,6 +1,6 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded and filtered by learned kernels at every fourth byte. The filters' rectified responses are max-pooled
+Bytes are embedded and filtered by learned kernels at every second byte. The filters' rectified responses are max-pooled
 over overlapping chunks that cover the whole document; the mean and the maximum over the chunks are combined by
 one logistic unit into one probability. Training (Adam, exact gradients) takes a bounded sample of labelled rows; scoring reads every
 byte.
@@ -19,9 +19,9 @@ from .common import held_out
 
 #: Bounds of the training sample: labelled rows (the first by hash of the id), and chunks of each, evenly spread.
 TRAIN_DOCS = 4096
-TRAIN_CHUNKS = 16
+TRAIN_CHUNKS = 32
 THRESHOLD = 0.3
-KERNEL, STRIDE, EMBED, FILTERS = 12, 4, 4, 48
+KERNEL, STRIDE, EMBED, FILTERS = 12, 2, 4, 48
 #: Positions of the kernel in a hop and in a chunk; a chunk overlaps the next by half.
 HOP = 64
 CHUNK = 2 * HOP
@@ -63,8 +63,8 @@ class Network:
         logit = chunks.mean(axis=0) @ w["out"][:FILTERS] + chunks.max(axis=0) @ w["out"][FILTERS:] + w["offset"][0]
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
-    def gradients(self, chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
-        """Mean log loss and its gradients; ``chunks`` (n, CHUNK_BYTES) belong to documents ``doc`` (0.., sorted)."""
+    def gradients(self, chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+        """Weighted mean log loss and its gradients; ``chunks`` (n, CHUNK_BYTES) belong to documents ``doc`` (0.., sorted)."""
         w, n, docs = self.weights, len(chunks), len(labels)
         rows = _windows_of(w["embed"][chunks])
         response = (rows @ w["kernel"]).reshape(n, CHUNK, FILTERS)
@@ -76,8 +76,8 @@ class Network:
         mean, top = np.add.reduceat(pooled, starts) / size, np.maximum.reduceat(pooled, starts)
         logit = mean @ w["out"][:FILTERS] + top @ w["out"][FILTERS:] + w["offset"]
         p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-        loss = -np.mean(np.where(labels == 1, np.log(p + 1e-9), np.log(1 - p + 1e-9)))
-        error = ((p - labels) / docs).astype(np.float32)
+        loss = -np.mean(weight * np.where(labels == 1, np.log(p + 1e-9), np.log(1 - p + 1e-9)))
+        error = (weight * (p - labels) / docs).astype(np.float32)
         is_top = pooled == top[doc]
         ties = np.add.reduceat(is_top.astype(np.float32), starts)[doc]
         to_mean = (error[:, None] * w["out"][:FILTERS] / size)[doc]
@@ -97,7 +97,12 @@ class Network:
         }
 
     def fit(self, documents: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+        """Adam over shuffled batches; the mean loss of each epoch.
+
+        The rarer label weighs more by the root of the ratio of their numbers.
+        """
+        ratio = max(int((labels == 1).sum()), 1) / max(int((labels == 0).sum()), 1)
+        weights = np.where(labels == 0, ratio**0.5, 1.0)
         rng = np.random.default_rng(self.seed + 1)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -107,7 +112,7 @@ class Network:
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
                 doc = np.repeat(np.arange(len(some)), [len(documents[i]) for i in some])
-                loss, gradient = self.gradients(np.concatenate([documents[i] for i in some]), doc, labels[some])
+                loss, gradient = self.gradients(np.concatenate([documents[i] for i in some]), doc, labels[some], weights[some])
                 losses.append(loss)
                 step += 1
                 speed = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
