@@ -37,17 +37,21 @@ def _gram(words, at, size) -> Column:
 def shingles_of(words, size) -> Column:
     """All shingles in order, repeats included; the whole sequence if it is shorter than a shingle."""
     last = F.greatest(F.size(words) - size, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: _gram(words, i, size))
+    every = F.sequence(F.lit(0), last)
+    return _once(words, lambda w: F.transform(every, lambda i: _gram(w, i, size)))
 
 
 def simhash(shingles) -> Column:
     """Bit b is 1 if it is set in over half of the shingles' XXH64 values."""
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    half = F.size(shingles) / 2
+    return _once(hashes, _majority)
+
+
+def _majority(hashes) -> Column:
     bits = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda b: F.when(
-            F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1)) > half, F.call_function("shiftleft", F.lit(1).cast("long"), b)
+            F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1)) * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)
         ).otherwise(F.lit(0).cast("long")),
     )
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
@@ -67,28 +71,53 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return materialize(full.withColumn("fp", simhash(F.col("shingles"))), "benchmark-items")
 
 
+def _runs(words, size: int) -> Column:
+    """For each position of a shingle: its hash (of its words' hashes), and the hash of the word before (null at the start)."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(words) - size),
+        lambda i: F.struct(
+            F.xxhash64(*(F.get(words, i + j) for j in range(size))).alias("h"), F.get(words, i - 1).alias("previous")
+        ),
+    )
+
+
+def _hashed(words) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _once(value, use) -> Column:
+    """use(value), with the value computed once however often ``use`` refers to it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _anchors(items: DataFrame, size: int) -> DataFrame:
     """Shingles of the items with their position and the word before."""
-    spread = items.where(F.col("k") == size).select("words", "n", F.posexplode("shingles").alias("at", "gram"))
-    previous = F.when(F.col("at") > 0, F.get("words", F.col("at") - 1))
-    return spread.select(F.xxhash64("gram").alias("h"), "n", "at", previous.alias("previous")).distinct()
-
-
-def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, size, window) where a shared run of words begins."""
-    worded = docs.select("doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= size)
-    spread = worded.select("doc_id", "words", F.posexplode("words").alias("pos", "w"))
-    gram = F.concat_ws(" ", F.col("w"), *(F.get("words", F.col("pos") + i) for i in range(1, size)))
-    hits = spread.where(F.col("pos") <= F.size("words") - size).select(
-        "doc_id", "words", "pos", F.xxhash64(gram).alias("h")
-    ).join(broadcast_if_small(_anchors(items, size)), "h")
-    starts = hits.where(
-        F.col("previous").isNull() | (F.col("pos") == 0) | (F.get("words", F.col("pos") - 1) != F.col("previous"))
+    runs = _once(_hashed(F.col("words")), lambda w: _runs(w, size))
+    spread = items.where(F.col("k") == size).select("n", F.posexplode(runs).alias("at", "x"))
+    return spread.select("x.h", "n", "at", F.col("x.previous").alias("before")).distinct()
+
+
+def _starts(keyed: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(key, n, k, start): where a run of words begins that a document and an item share."""
+    runs = F.transform(
+        F.array(_hashed(words_of(F.col("text")))),
+        lambda w: F.struct(F.size(w).alias("length"), F.when(F.size(w) >= size, _runs(w, size)).alias("runs")),
     )
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("n")), F.lit(0))
-    return starts.select(
-        "doc_id", "n", F.lit(size).alias("k"), start.alias("start"), F.slice("words", start + 1, F.col("n")).alias("window")
+    lists = keyed.select("key", F.explode(runs).alias("r")).select("key", "r.length", "r.runs")
+    spread = lists.select("key", "length", F.posexplode("runs").alias("pos", "x")).select("key", "length", "pos", "x.h", "x.previous")
+    hits = spread.join(broadcast_if_small(_anchors(items, size)), "h").where(
+        F.col("before").isNull() | F.col("previous").isNull() | (F.col("previous") != F.col("before"))
     )
+    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n")), F.lit(0))
+    return hits.select("key", "n", F.lit(size).alias("k"), start.alias("start"))
+
+
+def _windows(plain: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, n, k, start, window). Only keys and positions are exploded; words are cut out where a run begins."""
+    keyed = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    starts = materialize(reduce(DataFrame.unionByName, (_starts(keyed, items, k) for k in sizes)).distinct(), "starts")
+    window = F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("n"))
+    return keyed.join(broadcast_if_small(starts), "key").select("doc_id", "n", "k", "start", window.alias("window"))
 
 
 def _probes(items: DataFrame) -> DataFrame:
@@ -130,8 +159,7 @@ def contaminated(
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not sizes:
         return plain.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("similarity", "double"), ("start_word", "int")))).limit(0)
-    windows = reduce(DataFrame.unionByName, (_windows(plain, items, k) for k in sizes))
-    printed = windows.withColumn("shingles", shingles_of(F.col("window"), F.col("k"))).withColumn(
+    printed = _windows(plain, items, sizes).withColumn("shingles", shingles_of(F.col("window"), F.col("k"))).withColumn(
         "fp", simhash(F.col("shingles"))
     )
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)))
