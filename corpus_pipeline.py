@@ -1,28 +1,54 @@
-"""The corpus pipeline: each stage reads what the one before it wrote."""
+"""The corpus pipeline: each stage reads what the one before it wrote, decides, and hands on what it keeps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontam, line_dedup, simhash
-from spindrift.llm.common import broadcast_if_small, materialize, scratch
+from spindrift.llm import bpe, decontam, langid, line_dedup, simhash
+from spindrift.llm.common import scratch
 
-#: Documents that some stage may drop by id are at most this many if they are broadcast.
-BROADCAST_IDS = 500_000
+#: A document whose nearest language prototype is no closer than this is in none of the languages.
+MIN_COSINE = 0.05
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or near no language, go."""
+    found = langid.identify(docs, langid.train(docs), keep=tuple(docs.columns), prediction=("__lang", "__cosine"))
+    kept = found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__cosine") >= MIN_COSINE))
+    return kept.drop("__lang", "__cosine")
 
-def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; n_chars follows the text."""
-    cleaned = line_dedup.line_dedup(docs, host="source", text="text")
-    return cleaned.drop("n_lines", "n_dropped").withColumn("n_chars", F.char_length("text").cast("long"))
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of each source go; n_chars follows the text; every document stays."""
+    cleaned = line_dedup.line_dedup(docs, host="source", text="text").drop("n_lines", "n_dropped")
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long"))
 
-STAGES = [("line_dedup", _lines)]
 
-#: Learned prototypes and merge automata have no SQL form; tests compare the stages with brute force.
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash.near_dedup(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of ``benchmark`` go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    return bpe.bpe_documents(docs, keep=("ids",))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe", token_stage),
+]
+
+#: Learned prototypes and the merge automaton have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -205,8 +205,8 @@ def load_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(json.load(file))
 
 
-def bpe_documents(docs: DataFrame, path: str | None = None, keep_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if ``keep_text``).
+def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and what ``keep`` names of ids and decoded.
 
     Whole texts are encoded as the vocabulary file's library does without added special tokens, and decoded
     from the ids. The compiled automaton (its size is fixed by the vocabulary) is broadcast. Defined
@@ -214,27 +214,28 @@ def bpe_documents(docs: DataFrame, path: str | None = None, keep_text: bool = Fa
     repeated rows; an empty table gives no rows; other columns are ignored.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path or default_vocabulary()))
+    extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 
     def run(batches):
         known = vocabulary.value
         for batch in batches:
-            counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
+            counts, ids_sha, text_sha = [], [], []
+            kept: dict[str, list] = {name: [] for name in keep}
             for text in batch.column("text"):
                 ids, decoded = known.encode(text.as_py() or "")
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                if keep_text:
-                    all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                    all_text.append(decoded)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if keep_text:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-            yield pa.record_batch(columns, names=names)
+                if "ids" in kept:
+                    kept["ids"].append(np.frombuffer(ids, "<i4"))
+                if "decoded" in kept:
+                    kept["decoded"].append(decoded)
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            columns += [pa.array(kept[name], extra[name][1]) for name in keep]
+            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if keep_text else ""
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema += "".join(f", {name} {extra[name][0]}" for name in keep)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return thin.mapInArrow(run, schema)
 

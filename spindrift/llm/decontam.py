@@ -182,3 +182,14 @@ def contaminated(
     return best.select(
         "doc_id", "item_id", F.round("best.s", 6).alias("similarity"), (-F.col("best.col2")).cast("int").alias("start_word")
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The input without the rows that ``contaminated`` finds; rows are told apart by id and text."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, shingle, similarity)
+    goes = materialize(found.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    names = docs.columns
+    inner = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    left = inner.join(broadcast_if_small(goes), "key", "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in names))

@@ -127,8 +127,9 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(totals.items())}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int = DIMENSION, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, for every input row, and the columns named by ``keep``.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int = DIMENSION, seed: int = SEED,
+             keep: tuple[str, ...] = (), prediction: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, held_out and the ``prediction`` columns for every input row; with ``keep`` these input columns instead of the first two.
 
     score is the cosine with the nearest prototype, at least 0. Defined cases: a text that is null or has no letter is
     "und" with score 0, as is every text if no prototype was learned; equal cosines go to the
@@ -139,12 +140,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int
     matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), dimension)
     shared = spark.sparkContext.broadcast((names, matrix))
 
+    source = f"kept_{keep.index('text')}" if "text" in keep else "text"
+
     def run(batches):
         encoder = _encoder(dimension, seed)
         languages, profiles = shared.value
         for batch in batches:
             found, scores = [], []
-            for text in batch.column("text"):
+            for text in batch.column(source):
                 vector = encoder.encode(text.as_py()) if languages else None
                 norm = 0.0 if vector is None else float(np.linalg.norm(vector))
                 if not norm:
@@ -155,17 +158,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int
                 best = int(cosines.argmax())
                 found.append(languages[best])
                 scores.append(float(min(max(cosines[best], 0.0), 1.0)))
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
+            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch(
-                [*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
+                [*(batch.column(c) for c in kept), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                names=[*kept, "lang_pred", "score"],
             )
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out")]
-    inner = docs.select(*columns, *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
+    if source == "text":
+        columns.append(F.col("text").cast("string").alias("text"))
+    inner = docs.select(*columns, *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema if f.name != "text")
     out = inner.mapInArrow(run, f"{types}, lang_pred string, score double")
-    return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
+    if keep:
+        return out.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(prediction[0]), F.col("score").alias(prediction[1]))
+    return out.select("doc_id", "held_out", *(F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), prediction, strict=True)))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -49,16 +49,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp), and key if the input has it: fp is the fingerprint as a signed long."""
+    ids = ["doc_id", "key"] if "key" in docs.columns else ["doc_id"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([*map(batch.column, ids), pa.array(fps.view(np.int64))], names=[*ids, "fp"])
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "doc_id long, fp long")
+    thin = docs.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("text").cast("string").alias("text"))
+    return thin.mapInArrow(run, "".join(f"{c} long, " for c in ids) + "fp long")
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -178,6 +179,17 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -
     return dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(_link_sorted(radius), "u long, v long")
 
 
+def _components_of(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of materialized fingerprints."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    roots = materialize(components(hamming_links(distinct.select("fp"), radius), "simhash-edges"), "simhash-roots")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least"
+    )
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
@@ -185,16 +197,30 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     ``radius`` bits. Defined cases: null, empty and blank texts have fingerprint zero, linked like any
     other; fewer words than a shingle are one shingle; equal fingerprints share a component; repeated
     rows give repeated rows; a null doc_id stays null and is never a component's id unless all of the
-    component are null; an empty table gives no rows.
+    component are null; an empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    roots = materialize(components(hamming_links(distinct.select("fp"), radius), "simhash-edges"), "simhash-roots")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
-    )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
+    rows = materialize(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    return rows.join(_components_of(rows, radius), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The input without all but one document of each component: the one with the smallest doc_id stays.
+
+    Of rows that repeat an id, one stays; a null doc_id stays only if all of its component are null. The text is
+    shuffled only if more documents go than may be broadcast.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "fingerprints")
+    known = materialize(rows.join(_components_of(rows, radius), "fp").select("key", "doc_id", "component_id"), "components")
+    stays = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("key"))
+    goes = materialize(known.select("key").distinct().join(stays.select("key"), "key", "left_anti"), "near-copies")
+    twins = materialize(known.groupBy("key").count().where("count > 1").select("key").join(goes, "key", "left_anti"), "repeated-rows")
+    names = docs.columns
+    inner = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    left = inner.join(broadcast_if_small(goes), "key", "left_anti")
+    if not twins.isEmpty():
+        some = left.join(broadcast_if_small(twins), "key", "left_semi").dropDuplicates(["key"])
+        left = left.join(broadcast_if_small(twins), "key", "left_anti").unionByName(some)
+    return left.select(*(F.col("row")[c].alias(c) for c in names))
