@@ -1 +1 @@
-"""streaming of the engine."""
+"""Change streams: the operators on batches of changes, and their streaming form."""
