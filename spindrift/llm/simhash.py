@@ -180,14 +180,14 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -
 
 
 def _components_of(rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) of materialized fingerprints."""
+    """(fp, root, component_id) of materialized fingerprints; root tells components apart even if ids repeat."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     roots = materialize(components(hamming_links(distinct.select("fp"), radius), "simhash-edges"), "simhash-roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -213,8 +213,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     """
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     rows = materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle), "fingerprints")
-    known = materialize(rows.join(_components_of(rows, radius), "fp").select("key", "doc_id", "component_id"), "components")
-    stays = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("key"))
+    known = materialize(rows.join(_components_of(rows, radius), "fp").select("key", "doc_id", "root", "component_id"), "components")
+    stays = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("key"))
     goes = materialize(known.select("key").distinct().join(stays.select("key"), "key", "left_anti"), "near-copies")
     twins = materialize(known.groupBy("key").count().where("count > 1").select("key").join(goes, "key", "left_anti"), "repeated-rows")
     names = docs.columns
