@@ -18,15 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, FINAL = 0, 1
 #: Entries of each of the two generations of a worker's cache.
 CACHE = 1 << 18
-#: Fixed value: the pattern that the vocabulary file gives for splitting normalised text.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Suffixes that are pre-tokens of their own, and what counts as white space.
+SUFFIXES = r"'s|'t|'re|'ve|'m|'ll|'d"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -45,6 +45,29 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def _category(first: str) -> str:
+    """The code points of a general category as ranges of a character class."""
+    out, start = [], None
+    for code in range(0x110001):
+        inside = code < 0x110000 and unicodedata.category(chr(code))[0] == first
+        if inside and start is None:
+            start = code
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def pre_tokens():
+    """Splits normalised text as the vocabulary file's pattern does: suffixes, runs of letters, single digits, other runs.
+
+    Built from the standard library's character table, whose categories are the ones that the file's library uses.
+    """
+    letters, numbers = _category("L"), _category("N")
+    return re.compile(f"{SUFFIXES}|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+").findall
+
+
 class Automaton:
     """``target``: the state behind each label; ``arcs``: a bit for each state and label; ``ids`` by label text."""
 
@@ -87,8 +110,12 @@ class Automaton:
             arcs[c] = arcs[a]
             target[c] = after
         self.states = states
-        flags = np.unpackbits(arcs, axis=1, bitorder="little")[:, :states]
-        self.table = np.packbits(flags.T, axis=1, bitorder="little").tobytes()
+        # turned to a row of labels for each state, some states at a time: the whole in single bits would be large
+        rows = [
+            np.packbits(np.unpackbits(arcs[:, at : at + 64], axis=1, bitorder="little").T, axis=1, bitorder="little").tobytes()
+            for at in range(0, arcs.shape[1], 64)
+        ]
+        self.table = b"".join(rows)[: states * width]
         self.width = width
         self.target = target.tolist()
 
@@ -144,7 +171,7 @@ class Vocabulary:
     def start(self) -> None:
         self.new: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
-        self.split = regex.compile(PRE_TOKEN).findall
+        self.split = pre_tokens()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = byte_characters()
 
@@ -196,7 +223,7 @@ def pieces(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     text = text.lower()
-    return regex.findall(r"\S+", text) if _SEPARATORS.search(text) else text.split()
+    return re.findall(f"[^{SPACES}]+", text) if _SEPARATORS.search(text) else text.split()
 
 
 @lru_cache(maxsize=2)

@@ -123,6 +123,7 @@ def _tokenizer(spec: str):
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    tokenizer.encode_special_tokens = True  # special strings are cut out before; what looks like one now is text
     return tokenizer
 
 

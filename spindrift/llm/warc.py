@@ -221,13 +221,13 @@ def capture_time(page_id) -> Column:
 
 
 def elect(pages: DataFrame) -> DataFrame:
-    """The pages with digest, refers_to and revisit: equal payloads revisit the one with the largest page_id.
+    """page_id, url, html, digest, refers_to, revisit: equal payloads revisit the one with the largest page_id.
 
     Payloads are compared by digest in thin rows, counted map-side first; html is not shuffled unless there are more
     repeated payloads than may be broadcast.
     """
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    rows = pages.withColumn("digest", digest)
+    rows = pages.select("page_id", "url", "html", digest.alias("digest"))
     repeated = rows.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     joined = rows.join(broadcast_if_small(materialize(repeated, "repeated-payloads")), "digest", "left")
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
