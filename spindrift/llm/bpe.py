@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 START, FINAL = 0, 1
 #: Entries of each of the two generations of a worker's cache.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Suffixes that are pre-tokens of their own, and what counts as white space.
 SUFFIXES = r"'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -45,11 +45,11 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-def _category(first: str) -> str:
-    """The code points of a general category as ranges of a character class."""
+def _category(name: str) -> str:
+    """The code points whose general category begins so, as ranges of a character class."""
     out, start = [], None
     for code in range(0x110001):
-        inside = code < 0x110000 and unicodedata.category(chr(code))[0] == first
+        inside = code < 0x110000 and unicodedata.category(chr(code)).startswith(name)
         if inside and start is None:
             start = code
         elif not inside and start is not None:
@@ -62,12 +62,26 @@ def _category(first: str) -> str:
 def pre_tokens():
     """Splits normalised text as the vocabulary file's pattern does: suffixes, runs of letters, single digits, other runs.
 
-    Built from the standard library's character table, whose categories are the ones that the file's library uses.
+    Built from the standard library's character table; characters that it does not know are left to the file's library.
     """
     letters, numbers = _category("L"), _category("N")
     return re.compile(f"{SUFFIXES}|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+").findall
 
 
+@lru_cache(maxsize=1)
+def _unknown():
+    return re.compile(f"[{_category('Cn')}]").search
+
+
+def has_unknown(text: str) -> bool:
+    """Whether the text has a character that the standard library's table does not have."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _unknown()(text) is not None
+    return False
+
+
 class Automaton:
     """``target``: the state behind each label; ``arcs``: a bit for each state and label; ``ids`` by label text."""
 
@@ -159,10 +173,13 @@ class Vocabulary:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the library's own normaliser and splitter, without a vocabulary, for characters newer than our tables
+        bare = {**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}
+        self.splitter = json.dumps(bare)
         self.start()
 
     def __getstate__(self):
-        return {"automaton": self.automaton, "special": self.special}
+        return {"automaton": self.automaton, "special": self.special, "splitter": self.splitter}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -171,16 +188,33 @@ class Vocabulary:
     def start(self) -> None:
         self.new: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, list[int]] = {}
         self.split = pre_tokens()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = byte_characters()
+        self.library = None
+
+    def ids_of_new(self, text: str) -> list[int]:
+        """Ids of a text with characters that the standard library does not know."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.splitter)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [i for word, _ in words for i in self.automaton.encode(word)]
 
     def ids_of(self, piece: str) -> list[int]:
         """Ids of a normalised piece without white space."""
-        symbols = self.bytes
-        return [
-            i for word in self.split(piece) for i in self.automaton.encode("".join([symbols[b] for b in word.encode()]))
-        ]
+        symbols, known = self.bytes, self.words
+        out: list[int] = []
+        for word in self.split(piece):
+            ids = known.get(word)
+            if ids is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                ids = known[word] = self.automaton.encode("".join([symbols[b] for b in word.encode()]))
+            out += ids
+        return out
 
     def text_of(self, ids) -> str:
         """The labels of the ids, with one space between two."""
@@ -205,6 +239,10 @@ class Vocabulary:
         for part in segments(text, self.cut):
             if part in self.special:
                 found.append((np.array([self.special[part]], "<u4").tobytes(), part))
+            elif has_unknown(part):
+                ids = self.ids_of_new(part)
+                if ids:
+                    found.append((np.array(ids, "<u4").tobytes(), self.text_of(ids)))
             else:
                 get = self.new.get
                 for x in pieces(part):
@@ -232,6 +270,17 @@ def load_vocabulary(path: str) -> Vocabulary:
         return Vocabulary(json.load(file))
 
 
+_shared: dict[tuple[str, str], object] = {}
+
+
+def _broadcast(spark: SparkSession, path: str | None):
+    """One broadcast for each application and file: workers keep what they unpickled, and its caches, by broadcast."""
+    key = spark.sparkContext.applicationId, path or default_vocabulary()
+    if key not in _shared:
+        _shared[key] = spark.sparkContext.broadcast(load_vocabulary(key[1]))
+    return _shared[key]
+
+
 def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and what ``keep`` names of ids and decoded.
 
@@ -240,7 +289,7 @@ def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     cases: a null or blank text has no tokens; special strings inside a text are their one token; repeated rows give
     repeated rows; an empty table gives no rows; other columns are ignored.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path or default_vocabulary()))
+    vocabulary = _broadcast(docs.sparkSession, path)
     extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 
     def run(batches):
@@ -269,7 +318,7 @@ def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (doc_id, ids) -> (doc_id, decoded): labels of the ids; null ids count as none."""
-    vocabulary = spark.sparkContext.broadcast(load_vocabulary(path or default_vocabulary()))
+    vocabulary = _broadcast(spark, path)
 
     def run(batches):
         for batch in batches:

@@ -23,7 +23,7 @@ TRAIN_DOCS = 4096
 UNKNOWN = "und"
 SEED = 7
 #: Trigram vectors that a worker keeps.
-CACHE = 1 << 15
+CACHE = 1 << 14
 _PIECE = 1 << 20
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, pieces, segments
+from .bpe import default_vocabulary, has_unknown, pieces, segments
 
 LIMIT = 2048
 #: Bounds of the broadcast table: its entries, and the documents whose pre-tokens are counted for it.
@@ -59,7 +59,7 @@ class Lengths:
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; pre-tokens that are new are encoded in one call."""
-        split = [[x if x in self.special else pieces(x) for x in segments(t, self.cut)] for t in texts]
+        split = [[1 if x in self.special else self.parts(x) for x in segments(t, self.cut)] for t in texts]
         table, cache = self.table, self.cache
         if len(cache) >= CACHE:
             cache.clear()
@@ -68,7 +68,13 @@ class Lengths:
         for x, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             cache[x] = len(encoded)
         both = lambda x: table.get(x) or cache[x]  # noqa: E731  every piece has a token
-        return [sum(1 if isinstance(p, str) else sum(map(both, p)) for p in text) for text in split]
+        return [sum(p if isinstance(p, int) else sum(map(both, p)) for p in text) for text in split]
+
+    def parts(self, segment: str) -> list[str] | int:
+        """Pre-tokens; or the number of tokens at once where the standard library does not know a character."""
+        if has_unknown(segment):
+            return len(self.tokenizer.encode(segment, add_special_tokens=False))
+        return pieces(segment)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
