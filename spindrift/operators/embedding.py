@@ -125,11 +125,10 @@ class FallbackProvider:
 def embed(rows: DataFrame, provider: Provider, column: str = "content", into: str = "vector", batch: int = BATCH, error: str | None = None) -> DataFrame:
     """Rows with a vector of the text. A batch that fails gets zero vectors, and its message in ``error`` if named."""
     size = min(batch, provider.max_batch)
-    shared = rows.sparkSession.sparkContext.broadcast(provider)
     names = rows.columns
 
     def run(batches):
-        model = shared.value
+        model = provider  # travels with the task, so that classes of the caller's own work too
         for b in batches:
             texts = [t or "" for t in b.column(column).to_pylist()]
             vectors, errors = [], []

@@ -8,7 +8,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, fusion, symbols, tables, vector
+from ..operators import bm25, fusion, tables, vector
+from ..operators import symbols as lookup
 from ..operators.chunking import chunk_files
 from ..operators.embedding import HashProvider, Provider, embed
 from ..operators.metrics import Metrics
@@ -99,18 +100,18 @@ class Engine:
     # lookups
 
     def symbols(self) -> DataFrame:
-        return symbols.symbols(self.store.read(vectors=False))
+        return lookup.symbols(self.store.read(vectors=False))
 
     def find_symbol(self, query: str, **options) -> DataFrame:
-        return symbols.find_symbol(self.symbols(), query, **options)
+        return lookup.find_symbol(self.symbols(), query, **options)
 
     def list_symbols(self, **options) -> DataFrame:
-        return symbols.list_symbols(self.symbols(), **options)
+        return lookup.list_symbols(self.symbols(), **options)
 
-    def find_references(self, name: str, exclude_file: str | None = None, limit: int = symbols.REFERENCE_LIMIT, mode: str = "vector") -> DataFrame:
+    def find_references(self, name: str, exclude_file: str | None = None, limit: int = lookup.REFERENCE_LIMIT, mode: str = "vector") -> DataFrame:
         if mode == "text":
-            return symbols.references_text(self.store.read(vectors=False), name, exclude_file, limit)
-        return symbols.references_vector(self.vector_search(name, limit), exclude_file)
+            return lookup.references_text(self.store.read(vectors=False), name, exclude_file, limit)
+        return lookup.references_vector(self.vector_search(name, limit), exclude_file)
 
     def list_files(self, glob: str | None = None) -> DataFrame:
         return tables.list_files(self.store.read(vectors=False), glob)
