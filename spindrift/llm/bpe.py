@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 START, FINAL = 0, 1
 #: Entries of each of the two generations of a worker's cache.
 CACHE = 1 << 17
@@ -313,7 +315,7 @@ def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "".join(f", {name} {extra[name][0]}" for name in keep)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, schema)
+    return map_arrow(thin, run, schema)
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -325,4 +327,4 @@ def decode_ids(spark: SparkSession, encoded: DataFrame, path: str | None = None)
             texts = [vocabulary.value.text_of(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded string")
+    return map_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, decoded string")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 COUNTERS = 1023
 
@@ -61,7 +61,7 @@ def frequent(digests: DataFrame, rows: int, counters: int = COUNTERS) -> DataFra
     A partition's summary is short by at most its rows / (counters + 1), so the sums of all are short
     by rows / (counters + 1); and at most counters + 1 sums can exceed that same bound.
     """
-    summary = digests.select("digest").mapInArrow(misra_gries(counters), "digest binary, at_least long")
+    summary = map_arrow(digests.select("digest"), misra_gries(counters), "digest binary, at_least long")
     total = summary.groupBy("digest").agg(F.sum("at_least").alias("at_least"))
     return total.where(F.col("at_least") > F.lit(rows / (counters + 1))).select("digest")
 

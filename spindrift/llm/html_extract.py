@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .html_pages import labelled_pages
 from .html_tree import Tree
 
@@ -207,4 +208,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     thin = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return thin.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(thin, run, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, map_arrow
 
 DIMENSION = 1024
 #: Documents of each language that prototypes are learned from: the first by hash of the id.
@@ -84,14 +84,6 @@ class Encoder:
         return total if found else None
 
 
-_encoders: dict[tuple[int, int], Encoder] = {}
-
-
-def _encoder(dimension: int, seed: int) -> Encoder:
-    """One per worker process, so that trigram vectors outlive a task."""
-    return _encoders.setdefault((dimension, seed), Encoder(dimension, seed))
-
-
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIMENSION, seed: int = SEED) -> dict[str, np.ndarray]:
     """Prototypes of unit length by language, from rows that are not held out and have a language.
 
@@ -104,7 +96,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
     ids = chosen.select("doc_id").distinct()
 
     def bundle(batches):
-        encoder = _encoder(dimension, seed)
+        encoder = Encoder(dimension, seed)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -116,10 +108,8 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
             names=["lang", "v"],
         )
 
-    rows = (
-        docs.where(~held_out() & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
-        .select("lang", "text").mapInArrow(bundle, "lang string, v array<double>")
-    )
+    some = docs.where(~held_out() & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = map_arrow(some.select("lang", "text"), bundle, "lang string, v array<double>")
     summed = rows.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     totals: dict[str, np.ndarray] = {}
     for row in summed.collect():  # one number for each language and dimension
@@ -143,7 +133,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int
     source = f"kept_{keep.index('text')}" if "text" in keep else "text"
 
     def run(batches):
-        encoder = _encoder(dimension, seed)
+        encoder = Encoder(dimension, seed)
         languages, profiles = shared.value
         for batch in batches:
             found, scores = [], []
@@ -169,7 +159,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dimension: int
         columns.append(F.col("text").cast("string").alias("text"))
     inner = docs.select(*columns, *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema if f.name != "text")
-    out = inner.mapInArrow(run, f"{types}, lang_pred string, score double")
+    out = map_arrow(inner, run, f"{types}, lang_pred string, score double")
     if keep:
         return out.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(prediction[0]), F.col("score").alias(prediction[1]))
     return out.select("doc_id", "held_out", *(F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), prediction, strict=True)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, map_arrow
 
 #: Bounds of the training sample: labelled rows (the first by hash of the id), and chunks of each, evenly spread.
 TRAIN_DOCS = 4096
@@ -172,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chunks: in
             yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], names=["doc_id", "quality", "chunks"])
 
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = some.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(
-        cut, "doc_id long, quality int, chunks binary"
+    rows = map_arrow(
+        some.select("doc_id", F.col("quality").cast("int").alias("quality"), "text"), cut, "doc_id long, quality int, chunks binary"
     )
     network = Network()
     found = sorted(rows.limit(2 * most).collect(), key=lambda r: (r["doc_id"], bytes(r["chunks"])))
@@ -198,7 +198,7 @@ def classify(docs: DataFrame, network: Network, threshold: float = THRESHOLD) ->
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = thin.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = map_arrow(thin, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

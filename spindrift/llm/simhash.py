@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, map_arrow, materialize
 from .components import components
 
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.record_batch([*map(batch.column, ids), pa.array(fps.view(np.int64))], names=[*ids, "fp"])
 
     thin = docs.select(*(F.col(c).cast("long").alias(c) for c in ids), F.col("text").cast("string").alias("text"))
-    return thin.mapInArrow(run, "".join(f"{c} long, " for c in ids) + "fp long")
+    return map_arrow(thin, run, "".join(f"{c} long, " for c in ids) + "fp long")
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -176,7 +176,7 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -
     )
     dealt = split.select("b", "k", F.explode(pairs).alias("p"), "fp").select("b", "k", "p.i", "p.j", "fp")
     at = ["b", "k", "i", "j"]
-    return dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(_link_sorted(radius), "u long, v long")
+    return map_arrow(dealt.repartition(*at).sortWithinPartitions(*at), _link_sorted(radius), "u long, v long")
 
 
 def _components_of(rows: DataFrame, radius: int) -> DataFrame:

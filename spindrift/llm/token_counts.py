@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, has_unknown, pieces, segments
+from .common import map_arrow
 
 LIMIT = 2048
 #: Bounds of the broadcast table: its entries, and the documents whose pre-tokens are counted for it.
@@ -43,7 +44,7 @@ def frequent_pieces(docs: DataFrame, special: list[str], size: int = TABLE, samp
         top = heapq.nlargest(size, found.items(), key=lambda x: x[1])
         yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    some = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(count, "piece string, n long")
+    some = map_arrow(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), count, "piece string, n long")
     rows = some.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
     return [r["piece"] for r in rows.collect()]
 
@@ -107,7 +108,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return thin.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(thin, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _groups(texts: list[str], characters: int = 1 << 20):

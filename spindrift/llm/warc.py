@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, scratch
+from .common import broadcast_if_small, map_arrow, materialize, scratch
 
 #: Runs that one loser tree merges.
 FAN_IN = 64
@@ -281,7 +281,7 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
         url_key(F.col("url")).alias("url_key"), capture_time(F.col("page_id")).alias("captured"),
     )
     ordered = captures.sortWithinPartitions("url_key", "captured", F.asc_nulls_first("page_id"))
-    return materialize(ordered.mapInArrow(write, "run string, lines long, keys array<binary>"), "runs")
+    return materialize(map_arrow(ordered, write, "run string, lines long, keys array<binary>"), "runs")
 
 
 def _merge_groups(spark, root: str, runs: list[str]) -> list[str]:
@@ -300,7 +300,7 @@ def _merge_groups(spark, root: str, runs: list[str]) -> list[str]:
                 names.append(out.close()[0])
             yield pa.record_batch([pa.array(names, pa.string())], names=["run"])
 
-    return [r["run"] for r in materialize(spark.range(0, len(groups), 1, len(groups)).mapInArrow(merge, "run string"), "merged").collect()]
+    return [r["run"] for r in materialize(map_arrow(spark.range(0, len(groups), 1, len(groups)), merge, "run string"), "merged").collect()]
 
 
 def _ranges(written: DataFrame, runs: int, lines: int) -> list[tuple]:
@@ -352,7 +352,7 @@ def merge_and_read(written: DataFrame, root: str) -> DataFrame:
                 for file in files.values():
                     file.close()
 
-    return spark.range(0, len(bounds) + 1, 1, len(bounds) + 1).mapInArrow(read, SCHEMA)
+    return map_arrow(spark.range(0, len(bounds) + 1, 1, len(bounds) + 1), read, SCHEMA)
 
 
 def _opened(store: _Store, files: OrderedDict, name: str):
