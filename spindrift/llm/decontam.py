@@ -193,3 +193,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     inner = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     left = inner.join(broadcast_if_small(goes), "key", "left_anti")
     return left.select(*(F.col("row")[c].alias(c) for c in names))
+
+
+_WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+ORACLE_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+items AS (SELECT item_id, words, len(words) AS n, least(len(words), {SHINGLE}) AS k FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0),
+ranged AS (SELECT doc_id, words, len(words) AS m, k, unnest(range(1, len(words) - k + 2)) AS pos FROM docs, (SELECT DISTINCT k FROM items) WHERE len(words) >= k),
+grams AS (SELECT doc_id, m, k, pos, array_to_string(words[pos:pos + k - 1], ' ') AS gram FROM ranged),
+item_ranged AS (SELECT item_id, words, n, k, unnest(range(1, n - k + 2)) AS spot FROM items),
+item_grams AS (SELECT item_id, n, k, spot, array_to_string(words[spot:spot + k - 1], ' ') AS gram FROM item_ranged),
+starts AS (SELECT DISTINCT doc_id, item_id, m, n, k, greatest(least(pos - spot, m - n), 0) AS start FROM grams JOIN item_grams USING (k, gram)),
+held AS (SELECT doc_id, item_id, start, gram, count(*) AS c FROM starts JOIN grams USING (doc_id, k) WHERE pos - 1 BETWEEN start AND start + least(starts.m, n) - k GROUP BY ALL),
+wanted AS (SELECT item_id, gram, count(*) AS c FROM item_grams GROUP BY ALL),
+common AS (SELECT doc_id, item_id, start, sum(least(held.c, wanted.c)) AS c FROM held JOIN wanted USING (item_id, gram) GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, c / (least(m, n) - k + 1 + n - k + 1 - c) AS s FROM common JOIN starts USING (doc_id, item_id, start)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) AS r FROM scored WHERE s >= {SIMILARITY})
+SELECT doc_id, item_id, round(s, 6) AS similarity, start::INTEGER AS start_word FROM best WHERE r = 1
+"""

@@ -64,4 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op2_decontamination": decontam.ORACLE_SQL,
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
+    }

@@ -380,3 +380,16 @@ def archive_pages(pages: DataFrame, root: str | None = None) -> DataFrame:
     root = root or scratch(pages.sparkSession, "warc")
     thin = pages.select(*(F.col(c).cast(t).alias(c) for c, t in (("page_id", "long"), ("url", "string"), ("html", "string"))))
     return merge_and_read(write_archives(elect(thin), root), root)
+
+
+ORACLE_SQL = """
+WITH digests AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+groups AS (SELECT hex, max(page_id) AS best FROM digests GROUP BY 1),
+nibbles AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, (i + 1)::BIGINT, 1)) - 1) AS b FROM digests JOIN groups USING (hex)),
+twenty AS (SELECT *, list_transform(range(8), lambda i: b[5*i+1] * 65536 + b[5*i+2] * 4096 + b[5*i+3] * 256 + b[5*i+4] * 16 + b[5*i+5]) AS v FROM nibbles)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM twenty
+"""
