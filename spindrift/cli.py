@@ -1,4 +1,4 @@
-"""Command line: ``python -m spindrift.cli index|search|symbol|references|files|stats|status|projects ...``."""
+"""Command line: ``python -m spindrift.cli init|index|search|symbol|references|files|stats|status|web|serve|watch|migrate|projects ...``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import os
 from .plans import render
 from .plans.config import load
 from .plans.engine import Engine
-from .plans.projects import LOCAL_DIR, Registry, detect, needs_index, resolve
+from .plans.projects import LOCAL_DIR, Registry, detect, needs_index, project_id, resolve
+from .serve import http_server, serve_lines
 from .session import session
 
 
@@ -33,6 +34,12 @@ def main(argv: list[str] | None = None) -> int:
     files.add_argument("glob", nargs="?")
     verbs.add_parser("stats")
     verbs.add_parser("status")
+    web = verbs.add_parser("web")
+    web.add_argument("--port", type=int, default=8080)
+    verbs.add_parser("serve")
+    verbs.add_parser("watch")
+    migrate = verbs.add_parser("migrate")
+    migrate.add_argument("--keep", action="store_true")
     projects = verbs.add_parser("projects")
     projects.add_argument("action", choices=("list", "add", "remove", "default"))
     projects.add_argument("name", nargs="?")
@@ -70,6 +77,15 @@ def main(argv: list[str] | None = None) -> int:
         print(render.references(args.name, engine.find_references(args.name)))
     elif args.verb == "files":
         print(render.file_list(engine.list_files(args.glob), args.glob))
+    elif args.verb == "web":
+        http_server(engine, port=args.port).serve_forever()
+    elif args.verb == "serve":
+        serve_lines(engine)
+    elif args.verb == "watch":
+        engine.watch(f"{place.base}/watch").awaitTermination()
+    elif args.verb == "migrate":
+        target = os.path.join(args.shared, project_id(found.root))
+        engine.store.migrate(f"{target}/chunks", keep=args.keep)
     elif args.verb == "status":
         print(f"{found.root}\t{found.type}\t{found.marker}\t{place.base}")
         print(engine.stats())

@@ -44,10 +44,6 @@ def vector_topk(rows: DataFrame, vector, k: int, key: str = "id", column: str =
     return ordered.withColumn("score", F.round(distance_score(F.col("distance")), digits))
 
 
-def _best(k: int):
-    return Window.partitionBy("query_id").orderBy("distance", "key"), k
-
-
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", column: str = "vector", digits: int = 6) -> DataFrame:
     """queries (query_id, vector) -> (query_id, key, distance, score, rank), squared Euclidean.
 
@@ -85,10 +81,12 @@ def _topk_block(rows: DataFrame, queries: DataFrame, k: int, key: str, column: s
             size = q.shape[1]
             m = valid.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
             for lo in range(0, len(names), 64):
-                d = ((m[:, None, :] - q[None, lo : lo + 64, :]) ** 2).sum(axis=2) if len(m) * size <= 1 << 16 else _far(m, q[lo : lo + 64])
-                d = np.round(d, digits)
+                d = np.round(_squared_distances(m, q[lo : lo + 64]), digits)
+                # only what may enter a query's k best is sorted; ties at the edge go by key
+                edge = np.partition(d, k - 1, axis=0)[k - 1] if len(m) > k else np.full(d.shape[1], np.inf)
                 for j in range(d.shape[1]):
-                    dist, own = np.concatenate([held[lo + j], d[:, j]]), np.concatenate([held_keys[lo + j], keys])
+                    near = np.flatnonzero(d[:, j] <= edge[j])
+                    dist, own = np.concatenate([held[lo + j], d[near, j]]), np.concatenate([held_keys[lo + j], keys[near]])
                     order = np.lexsort((own, dist))[:k]
                     held[lo + j], held_keys[lo + j] = dist[order], own[order]
         sizes = [len(h) for h in held]
@@ -105,9 +103,9 @@ def _topk_block(rows: DataFrame, queries: DataFrame, k: int, key: str, column: s
     return thin.mapInArrow(nearest, "query_id long, key long, distance double")
 
 
-def _far(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances one query at a time, to bound memory."""
-    return np.stack([((m - x) ** 2).sum(axis=1) for x in q], axis=1)
+def _squared_distances(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(rows, queries) by one matrix product in double precision."""
+    return np.maximum((m * m).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (m @ q.T), 0.0)
 
 
 def unique_files(ranked: DataFrame, k: int, file: str = "file_path", score: str = "score", key: str = "id") -> DataFrame:

@@ -13,7 +13,9 @@ from ..operators import symbols as lookup
 from ..operators.chunking import chunk_files
 from ..operators.embedding import HashProvider, Provider, embed
 from ..operators.metrics import Metrics
+from ..sources.changes import ChangeSource
 from ..sources.files import get_file, gitignore_rules, list_tree, read_tree, without_ignored
+from ..streaming.live import watch
 from .config import Config
 from .store import ChunkStore, KeywordIndex
 
@@ -68,6 +70,20 @@ class Engine:
         self.metrics.gauge("indexed_chunks", self.store.count())
         return {"files": listed.count(), "changed_files": n_changed, "chunks": n_rows, "errors": n_errors}
 
+    def watch(self, checkpoint: str):
+        """Start the stream that merges changes of the tree as they happen."""
+        self.spark.dataSource.register(ChangeSource)
+        c = self.config
+        stream = self.spark.readStream.format("file_changes").option("path", self.root).load()
+
+        def read(paths: DataFrame) -> DataFrame:
+            return read_tree(self.spark, self.root, paths, extensions=c.indexer.extensions, ignored=c.indexer.ignore_patterns)[0]
+
+        return watch(
+            stream, self.store, read, self.provider, checkpoint, f"{c.watcher.debounce_ms} milliseconds",
+            strategy="ast" if c.indexer.chunker_strategy == "ast" else "line", extensions=c.indexer.extensions, ignored=c.indexer.ignore_patterns,
+        )
+
     # searching
 
     def _queries(self, query: str) -> DataFrame:

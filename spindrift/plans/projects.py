@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -162,3 +163,10 @@ def shared_indexes(shared: str) -> list[tuple[str, str, str]]:
     names = sorted(os.listdir(shared)) if os.path.isdir(shared) else []
     matches = ((n, re.fullmatch(r"(.+)-([0-9a-f]{8})", n)) for n in names if os.path.isdir(os.path.join(shared, n)))
     return [(n, m[1], m[2]) if m else (n, n, "") for n, m in matches]
+
+
+def remove_index(shared: str, index_id: str) -> None:
+    """Delete one index below the shared folder by its id."""
+    if index_id not in {i for i, _, _ in shared_indexes(shared)}:
+        raise KeyError(index_id)
+    shutil.rmtree(os.path.join(shared, index_id))

@@ -17,7 +17,6 @@ def spark(tmp_path_factory):
     spark = session(
         "tests", "local[4]", spark_sql_shuffle_partitions="4", spark_driver_memory="4g", spark_ui_enabled="false",
         spark_checkpoint_dir=f"file://{root}/shared", spark_sql_warehouse_dir=f"file://{root}/warehouse",
-        **{"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

@@ -9,7 +9,7 @@ from spindrift.operators import evaluation, fusion, metrics, symbols, tables, ve
 from spindrift.operators.chunking import chunk_files
 from spindrift.plans.config import Config, parse
 from spindrift.plans.engine import Engine
-from spindrift.plans.projects import Registry, detect, needs_index, project_id, resolve, shared_indexes
+from spindrift.plans.projects import Registry, detect, needs_index, project_id, remove_index, resolve, shared_indexes
 from spindrift.plans.store import ChunkStore
 from spindrift.schemas import CHUNKS, FILES
 from spindrift.sources.files import get_file
@@ -214,6 +214,43 @@ def test_engine(spark, tmp_path):
         get_file(str(root), "../../etc/passwd")
 
 
+def test_interfaces(spark, tmp_path):
+    import io
+    import json
+    import threading
+    from urllib.request import Request, urlopen
+
+    from spindrift.serve import TOOLS, Api, http_server, serve_lines
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.py").write_text("def login(user):\n    return user\n")
+    engine = Engine(spark, str(tmp_path / "t"), f"file://{tmp_path}/base", None, E.HashProvider(16))
+    engine.index()
+    api = Api(engine)
+    call = lambda *a: (lambda r: (r[0], json.loads(r[2])))(api.handle(*a))
+    status, found = call("POST", "/api/search", b'{"query": "login", "limit": 1, "mode": "bm25"}')
+    assert status == 200 and found["mode"] == "bm25" and found["results"][0]["file_path"] == "a.py"
+    assert call("GET", "/api/files?pattern=*.py") == (200, [{"path": "a.py", "extension": "py"}])
+    assert call("GET", "/api/stats")[1]["chunks"] == 1 and call("GET", "/health")[1]["status"] == "healthy"
+    assert api.handle("GET", "/api/files/a.py")[2].startswith(b"def login")
+    assert [call(*a)[0] for a in (("GET", "/api/files/../x"), ("GET", "/api/files/no.py"), ("GET", "/nope"), ("POST", "/api/search", b"{}"))] == [403, 404, 404, 400]
+    assert b"search_requests_total" in api.handle("GET", "/metrics")[2]
+    server = http_server(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urlopen(Request(f"http://127.0.0.1:{server.server_port}/api/search", b'{"query": "login"}')) as reply:
+        assert json.load(reply)["mode"] == "hybrid"
+    server.shutdown()
+    lines = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "nope"}]
+    tools = [("search", {"query": "login"}), ("list_files", {}), ("get_file", {"path": "a.py"}), ("find_symbol", {"query": "logn"}), ("list_symbols", {}), ("find_references", {"symbol_name": "user", "mode": "text"}), ("get_file", {"path": "../x"})]
+    lines += [{"id": 10 + i, "method": "tools/call", "params": {"name": n, "arguments": a}} for i, (n, a) in enumerate(tools)]
+    sink = io.StringIO()
+    serve_lines(engine, io.StringIO("\n".join(map(json.dumps, lines)) + "\nnot json\n"), sink)
+    replies = {r["id"]: r for r in map(json.loads, sink.getvalue().splitlines())}
+    assert {t["name"] for t in replies[2]["result"]["tools"]} == set(TOOLS) and "error" in replies[3] and "error" in replies[None]
+    assert [replies[10 + i]["result"]["isError"] for i in range(7)] == [False] * 6 + [True]
+    assert "login" in replies[13]["result"]["content"][0]["text"]
+
+
 def test_projects(tmp_path, spark):
     (tmp_path / "p/src/deep").mkdir(parents=True)
     (tmp_path / "p/package.json").write_text("{}")
@@ -238,6 +275,10 @@ def test_projects(tmp_path, spark):
     assert again.default is None
     (tmp_path / "s/x-0123abcd").mkdir(parents=True)
     assert shared_indexes(str(tmp_path / "s")) == [("x-0123abcd", "x", "0123abcd")]
+    remove_index(str(tmp_path / "s"), "x-0123abcd")
+    assert shared_indexes(str(tmp_path / "s")) == []
+    with pytest.raises(KeyError):
+        remove_index(str(tmp_path / "s"), "..")
     assert needs_index("on_missing", False, False) and not needs_index("never", False, True) and needs_index("on_missing_or_stale", True, True)
 
 
