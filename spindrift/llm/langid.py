@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow
+from .common import broadcast_if_small, held_out, map_arrow, materialize
 
 DIMENSION = 1024
 #: Documents of each language that prototypes are learned from: the first by hash of the id.
@@ -91,8 +91,13 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
     it, and what comes to the driver is one vector for each language.
     """
     ranked = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # hashes are even over their range: a language's first rows lie below that share of it, with room to spare;
+    # so no task ranks more of a frequent language than a rare one has
+    totals = materialize(ranked.groupBy("lang").count(), "languages")
+    place = (F.col("h") / 2.0**64 + 0.5) * F.col("count")
+    low = ranked.join(broadcast_if_small(totals), "lang").where(place <= 1.2 * per_language + 100)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    chosen = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
     ids = chosen.select("doc_id").distinct()
 
     def bundle(batches):
