@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 START, FINAL = 0, 1
-#: Entries of each of the two generations of a worker's cache.
-CACHE = 1 << 17
+#: Entries of each of the two generations of a worker's caches, of pieces and of pre-tokens.
+CACHE, WORDS = 1 << 18, 1 << 17
 #: Suffixes that are pre-tokens of their own, and what counts as white space.
 SUFFIXES = r"'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -90,7 +91,13 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         self.suffix, self.ids = suffix, vocab
         self.labels = {i: s for s, i in vocab.items()}
-        self.longest = max(len(s.removesuffix(suffix)) for s in vocab) if vocab else 0
+        #: by the first two characters: the longest label inside a word, and the longest that ends one
+        self.reach: dict[str, tuple[int, int]] = {}
+        for text in vocab:
+            ends = bool(suffix) and text.endswith(suffix) and len(text) > len(suffix)
+            bare = text.removesuffix(suffix) if ends else text
+            inner, last = self.reach.get(bare[:2], (1, 1))
+            self.reach[bare[:2]] = (inner, max(last, len(bare))) if ends else (max(inner, len(bare)), last)
         self._compile(merges)
 
     def _compile(self, merges: list) -> None:
@@ -137,27 +144,26 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """Ids of one pre-token given in byte characters."""
-        size, table, width, target, ids = len(word), self.table, self.width, self.target, self.ids
-        longest = self.longest
+        size, table, width, target, get, suffix = len(word), self.table, self.width, self.target, self.ids.get, self.suffix
         dead: set[tuple[int, int]] = set()
         path: list[int] = []
         tries: list = []
-        position, state = 0, START
-        ends = iter(range(min(size, longest), 0, -1))
+        position, state, ends = 0, START, self._ends(word, 0, size)
         while True:
+            row = state * width
             for end in ends:
-                label = ids.get(word[position:end] if end < size else word[position:] + self.suffix)
-                if label is None or not table[state * width + (label >> 3)] >> (label & 7) & 1:
+                label = get(word[position:end] if end < size else word[position:] + suffix)
+                if label is None or not table[row + (label >> 3)] >> (label & 7) & 1:
                     continue
+                path.append(label)
                 if end == size:
-                    path.append(label)
                     return path
-                if (end, target[label]) in dead:
+                if dead and (end, target[label]) in dead:
+                    path.pop()
                     continue
-                path.append(label)
                 tries.append((position, state, ends))
                 position, state = end, target[label]
-                ends = iter(range(min(size, position + longest), position, -1))
+                ends = self._ends(word, position, size)
                 break
             else:
                 dead.add((position, state))
@@ -166,6 +172,13 @@ class Automaton:
                 path.pop()
                 position, state, ends = tries.pop()
 
+    def _ends(self, word: str, position: int, size: int):
+        """Where the next label may end, the farthest first."""
+        inner, last = self.reach.get(word[position : position + 2], (1, 1))
+        if size - position <= last:
+            return iter((size, *range(min(position + inner, size - 1), position, -1)))
+        return iter(range(min(position + inner, size - 1), position, -1))
+
 
 class Vocabulary:
     """A vocabulary file with its normalisation, and caches of pieces already encoded."""
@@ -188,69 +201,77 @@ class Vocabulary:
         self.start()
 
     def start(self) -> None:
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pieces = Recent(self.ids_of, CACHE)
+        self.words = Recent(self.word, WORDS)
         self.split = pre_tokens()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.bytes = byte_characters()
+        self.names = self.automaton.labels | {i: s for s, i in self.special.items()}
         self.library = None
 
-    def ids_of_new(self, text: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit integers."""
+        plain = word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()])
+        return _packed(self.automaton.encode(plain))
+
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a normalised piece without white space."""
+        if piece.isalpha():  # letters alone are one pre-token, with one common mark behind them two
+            return self.words[piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.words[piece[:-1]] + self.words[piece[-1]]
+        return b"".join([self.words[word] for word in self.split(piece)])
+
+    def ids_of_new(self, text: str) -> bytes:
         """Ids of a text with characters that the standard library does not know."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.splitter)
         words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [i for word, _ in words for i in self.automaton.encode(word)]
-
-    def ids_of(self, piece: str) -> list[int]:
-        """Ids of a normalised piece without white space."""
-        symbols, known = self.bytes, self.words
-        out: list[int] = []
-        for word in self.split(piece):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[word] = self.automaton.encode("".join([symbols[b] for b in word.encode()]))
-            out += ids
-        return out
+        return b"".join([_packed(self.automaton.encode(word)) for word, _ in words])
 
     def text_of(self, ids) -> str:
         """The labels of the ids, with one space between two."""
-        names = self.automaton.labels
-        special = {i: s for s, i in self.special.items()}
-        return " ".join([names[i] if i in names else special[i] for i in ids])
-
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of a piece that is not in the new cache."""
-        found = self.old.get(piece)
-        if found is None:
-            ids = self.ids_of(piece)
-            found = np.array(ids, "<u4").tobytes(), self.text_of(ids)
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
-        self.new[piece] = found
-        return found
+        return " ".join(map(self.names.__getitem__, ids))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of a whole text."""
-        found: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers."""
+        found: list[bytes] = []
         for part in segments(text, self.cut):
             if part in self.special:
-                found.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                found.append(_packed([self.special[part]]))
             elif has_unknown(part):
-                ids = self.ids_of_new(part)
-                if ids:
-                    found.append((np.array(ids, "<u4").tobytes(), self.text_of(ids)))
+                found.append(self.ids_of_new(part))
             else:
-                get = self.new.get
-                for x in pieces(part):
-                    found.append(get(x) or self.piece(x))
-                    get = self.new.get
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+                found += map(self.pieces.__getitem__, pieces(part))
+        return b"".join(found)
+
+    def decode(self, ids: bytes) -> str:
+        """The text of packed ids: the labels of the arcs that they stand for."""
+        return self.text_of(struct.unpack(f"<{len(ids) // 4}I", ids))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Recent(dict):
+    """A cache of ``make`` in two generations: what was not asked for since the last turn but one is forgotten."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 def segments(text: str, cut) -> list[str]:
@@ -300,7 +321,8 @@ def bpe_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
             counts, ids_sha, text_sha = [], [], []
             kept: dict[str, list] = {name: [] for name in keep}
             for text in batch.column("text"):
-                ids, decoded = known.encode(text.as_py() or "")
+                ids = known.encode(text.as_py() or "")
+                decoded = known.decode(ids)
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())

@@ -39,7 +39,7 @@ def brute_stages(spark, docs, benchmark):
     leaks = {d for d, _ in test_decontam.brute([(r[0], r[1]) for r in kept], benchmark)}
     kept = [r for r in kept if r[0] not in leaks]
     yield kept
-    yield sorted((r[0], hashlib.sha256(bpe.load_vocabulary(bpe.default_vocabulary()).encode(r[1])[0]).hexdigest()) for r in kept)
+    yield sorted((r[0], hashlib.sha256(bpe.load_vocabulary(bpe.default_vocabulary()).encode(r[1])).hexdigest()) for r in kept)
 
 
 def test_stages_against_brute_force(spark, sf):
