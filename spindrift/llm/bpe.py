@@ -26,7 +26,7 @@ from .common import map_arrow
 
 START, FINAL = 0, 1
 #: Entries of each of the two generations of a worker's caches, of pieces and of pre-tokens.
-CACHE, WORDS = 1 << 18, 1 << 17
+CACHE, WORDS = 1 << 17, 1 << 16
 #: Suffixes that are pre-tokens of their own, and what counts as white space.
 SUFFIXES = r"'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

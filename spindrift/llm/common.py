@@ -66,7 +66,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be cheap to count (a materialized table). Beyond the limit the join stays a
     shuffled one, which Spark splits where it is skewed.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 #: Rows that travel to a Python worker at once: texts can be long, and a worker holds a batch in several forms.
