@@ -189,7 +189,7 @@ def _slice(store: _Store, run: str, low: tuple | None, high: tuple | None) -> It
     start = 0
     if low is not None:
         for mark in store.lines(run + ".marks"):
-            if _order(mark) > low:
+            if _order(mark) >= low:  # lines of that order may stand before the mark
                 break
             start = int(mark.rpartition(b"\t")[2])
     for line in store.lines(run, start):

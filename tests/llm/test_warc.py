@@ -55,6 +55,25 @@ def test_archives_stay_small(spark):
     assert sorted(r.page_id for r in warc.merge_and_read(written, root).collect()) == list(range(300))
 
 
+def test_repeated_orders_over_marks_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_LINES", 500)
+    rows = [(i, f"http://a.example/{i:05d}", f"t{i}") for i in range(1500)] + [(700, "http://a.example/00700", "t700")] * 900 + [(None, "http://a.example/00900", "n")] * 600
+    out = warc.archive_pages(frame(spark, rows, 2)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=repr) == expected(rows)
+
+
+def test_slices_around_a_mark_keep_all_lines(tmp_path):
+    store = warc._Store(f"file://{tmp_path}")
+    run = warc._RunWriter(store, "run")
+    orders = [(b"a", b"1", i) for i in range(300)] + [(b"b", b"1", 7)] * 900 + [(b"c", b"1", i) for i in range(300)]
+    for key, when, page in orders:
+        run.add(b"%s\t%s\t%d\t0\t0\trun" % (key, when, page))
+    run.close()
+    bounds = [None, (b"b", b"1", (1, 7)), (b"c", b"1", (1, 0)), None]
+    read = [o for low, high in zip(bounds, bounds[1:]) for o, _ in warc._slice(store, "run", low, high)]
+    assert read == [(k, w, (1, p)) for k, w, p in orders]
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).collect() == []
 
