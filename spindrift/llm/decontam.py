@@ -2,7 +2,8 @@
 
 Windows of a document as long as a benchmark item are fingerprinted by SimHash over word shingles.
 A window that reaches the similarity shares shingles with the item, so windows are placed where a
-shared shingle aligns document and item (once for each run of shared words). Multi-index Hamming
+shared shingle aligns document and item (once for each run of shared words), and, for parts in another order,
+where a shared shingle begins a window that holds enough of them (``_moved``). Multi-index Hamming
 blocks then find, for every window, all items of that length within ``radius`` bits: 8 blocks of 8
 bits, each probed within 2 flips, which misses nothing up to 8 * 3 - 1 = 23 bits. Candidates are verified
 by the exact weighted Jaccard similarity of their shingles (words compared as text, weights are counts).
@@ -93,31 +94,61 @@ def _once(value, use) -> Column:
 def _anchors(items: DataFrame, size: int) -> DataFrame:
     """Shingles of the items with their position and the word before."""
     runs = _once(_hashed(F.col("words")), lambda w: _runs(w, size))
-    spread = items.where(F.col("k") == size).select("n", F.posexplode(runs).alias("at", "x"))
-    return spread.select("x.h", "n", "at", F.col("x.previous").alias("before")).distinct()
+    spread = items.where(F.col("k") == size).select("n", F.xxhash64("words").alias("item"), F.posexplode(runs).alias("at", "x"))
+    return spread.select("x.h", "n", "item", "at", F.col("x.previous").alias("before")).distinct()
 
 
-def _starts(keyed: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(key, n, k, start): where a run of words begins that a document and an item share."""
+def _hits(keyed: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(key, length, pos, n, k, item, at, begins): shingles that a document and an item share; begins: no run goes on there."""
     runs = F.transform(
         F.array(_hashed(words_of(F.col("text")))),
         lambda w: F.struct(F.size(w).alias("length"), F.when(F.size(w) >= size, _runs(w, size)).alias("runs")),
     )
     lists = keyed.select("key", F.explode(runs).alias("r")).select("key", "r.length", "r.runs")
     spread = lists.select("key", "length", F.posexplode("runs").alias("pos", "x")).select("key", "length", "pos", "x.h", "x.previous")
-    hits = spread.join(broadcast_if_small(_anchors(items, size)), "h").where(
-        F.col("before").isNull() | F.col("previous").isNull() | (F.col("previous") != F.col("before"))
+    begins = F.col("before").isNull() | F.col("previous").isNull() | (F.col("previous") != F.col("before"))
+    return spread.join(broadcast_if_small(_anchors(items, size)), "h").select(
+        "key", "length", "pos", "n", F.lit(size).alias("k"), "item", "at", begins.alias("begins")
     )
+
+
+def _aligned(hits: DataFrame) -> DataFrame:
+    """(key, n, k, start): the start that a run of shared words implies."""
     start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n")), F.lit(0))
-    return hits.select("key", "n", F.lit(size).alias("k"), start.alias("start"))
+    return hits.where("begins").select("key", "n", "k", start.alias("start")).distinct()
+
+
+def _moved(hits: DataFrame, similarity: float) -> DataFrame:
+    """(key, n, k, start): windows that begin with a shared shingle and hold enough of them, wherever these stand in the item.
+
+    A window that is moved on to the next shared shingle loses none, so the best window of an item begins with one (or is the
+    document's last). Within a run, one that gains none at its end is no better than the window before.
+    """
+    last = F.greatest(F.col("length") - F.col("n"), F.lit(0))
+    grams = F.least("length", "n") - F.col("k") + 1
+    least = F.ceil((grams + F.col("n") - F.col("k") + 1) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
+    found = hits.groupBy("key", "length", "n", "k", "item").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    full = found.select("key", "n", "k", last.alias("last"), grams.alias("grams"), F.greatest(least, F.lit(1)).alias("least"), "at").where(F.size("at") >= F.col("least"))
+
+    def begins(p, i):
+        end = p + F.col("grams") - 1
+        enough = (p <= F.col("last")) & (F.get("at", i + F.col("least") - 1) <= end)
+        gains = F.array_contains(F.slice("at", i + F.col("least"), F.col("grams") - F.col("least") + 1), end)
+        return enough & ((i == 0) | (F.get("at", i - 1) != p - 1) | gains)
+
+    at_end = F.when(F.get("at", F.size("at") - F.col("least")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(F.filter("at", begins), at_end)
+    return full.select("key", "n", "k", F.explode(starts).alias("start")).distinct()
 
 
-def _windows(plain: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, n, k, start, window). Only keys and positions are exploded; words are cut out where a run begins."""
+def _windows(plain: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """(doc_id, n, k, start, aligned, window). Only keys and positions are exploded; words are cut out where a window begins."""
     keyed = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    starts = materialize(reduce(DataFrame.unionByName, (_starts(keyed, items, k) for k in sizes)).distinct(), "starts")
+    hits = materialize(reduce(DataFrame.unionByName, (_hits(keyed, items, k) for k in sizes)), "hits")
+    both = _aligned(hits).withColumn("aligned", F.lit(True)).unionByName(_moved(hits, similarity).withColumn("aligned", F.lit(False)))
+    starts = materialize(both.groupBy("key", "n", "k", "start").agg(F.max("aligned").alias("aligned")), "starts")
     window = F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("n"))
-    return keyed.join(broadcast_if_small(starts), "key").select("doc_id", "n", "k", "start", window.alias("window"))
+    return keyed.join(broadcast_if_small(starts), "key").select("doc_id", "n", "k", "start", "aligned", window.alias("window"))
 
 
 def _probes(items: DataFrame) -> DataFrame:
@@ -150,7 +181,7 @@ def contaminated(
     """(doc_id, item_id, similarity, start_word): every document and item with a window at ``similarity`` or above.
 
     similarity is the best of the pair's windows, rounded to 6 places, start_word the first word of the
-    first such window. Defined cases: texts or items that are null, empty or without letters and digits match nothing; a
+    first such window, of those where a run of shared words aligns if there are any. Defined cases: texts or items that are null, empty or without letters and digits match nothing; a
     document shorter than an item is one window; an item shorter than a shingle is one shingle of all its words; rows
     that repeat an id are one document; a null doc_id is an id like others; an empty table gives no rows.
     """
@@ -159,7 +190,7 @@ def contaminated(
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not sizes:
         return plain.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("similarity", "double"), ("start_word", "int")))).limit(0)
-    printed = _windows(plain, items, sizes).withColumn("shingles", shingles_of(F.col("window"), F.col("k"))).withColumn(
+    printed = _windows(plain, items, sizes, similarity).withColumn("shingles", shingles_of(F.col("window"), F.col("k"))).withColumn(
         "fp", simhash(F.col("shingles"))
     )
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)))
@@ -174,13 +205,13 @@ def contaminated(
     close = met.where(~earlier & (F.bit_count(differing) <= RADIUS)).drop("n", "k", "block", "value", "x")
     texts = items.select("item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
     verified = close.join(broadcast_if_small(texts, BROADCAST_ROWS // 50), ["item_id", "item_fp"]).select(
-        "doc_id", "item_id", "start", weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("s")
+        "doc_id", "item_id", "start", "aligned", weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("s")
     )
     best = verified.where(F.col("s") >= similarity).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("s", -F.col("start"))).alias("best")
+        F.max(F.struct("s", "aligned", (-F.col("start")).alias("back"))).alias("best")
     )
     return best.select(
-        "doc_id", "item_id", F.round("best.s", 6).alias("similarity"), (-F.col("best.col2")).cast("int").alias("start_word")
+        "doc_id", "item_id", F.round("best.s", 6).alias("similarity"), (-F.col("best.back")).cast("int").alias("start_word")
     )
 
 

@@ -75,6 +75,27 @@ def test_against_brute_force_over_all_windows(docs, items):
     assert len(found) == len(want) > 30
 
 
+def test_moved_parts_against_brute_force(docs, items):
+    rng = random.Random(7)
+    fresh = iter(f"v{i}" for i in range(100_000))
+    passage = lambda n: [next(fresh) for _ in range(n)]
+    bench = [(i, passage(n)) for i, n in enumerate((60, 60, 90, 45, 9, 120))]
+    halves, tail = bench[0][1], bench[1][1]
+    changed = [(0, halves[30:] + halves[:30]), (1, tail[-15:] + tail[:-15])]
+    for d in range(2, 60):
+        p = rng.choice(bench)[1]
+        cuts = sorted(rng.sample(range(1, len(p)), rng.choice([1, 1, 2])))
+        parts = [p[a:b] for a, b in zip([0, *cuts], [*cuts, len(p)])]
+        rng.shuffle(parts)
+        changed.append((d, [w for part in parts for w in part][: rng.choice([len(p), len(p) - 2])]))
+    rows = [(d, " ".join((passage(rng.choice([0, 3, 40])) + w + passage(rng.choice([0, 3, 40]))))) for d, w in changed]
+    bench = [(i, " ".join(p)) for i, p in bench]
+    found = decontam.contaminated(docs(*rows), items(*bench)).collect()
+    want = brute(rows, bench)
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == want and (0, 0) in want and (1, 1) in want
+    assert len(found) == len(want) > 30
+
+
 def test_edges(docs, items):
     long = "filler words here " * 40_000
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two three"), (5, long + "alpha beta gamma delta epsilon zeta"), (None, "alpha beta gamma delta epsilon zeta"), (6, "one"), (6, "ONE-two! three?"), (6, "ONE-two! three?")]
