@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no rendered text.
@@ -32,11 +33,11 @@ _CLOSES = {
 _KEEPS_P = frozenset("button option optgroup select textarea label".split())
 _ENDS_P = BLOCK - _KEEPS_P - {"html", "body", "li", "dd", "dt", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend"}
 _LIMITS = frozenset("table td th caption button template html".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_REMARK = r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?"
+_TOKEN = re.compile(rf"{_REMARK}|<(/?)([A-Za-z][^\s/>]*)", re.S)
+#: What can still be a token where no ">" follows.
+_LAST = re.compile(_REMARK, re.S)
+_SPECIAL = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -48,6 +49,42 @@ def names_of(attributes: str) -> list[str]:
     return [p.lower() for m in _NAMES.finditer(attributes) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")]
 
 
+class _Tags:
+    """Finds where tags end, quoted values of any length included, in time linear in the page."""
+
+    def __init__(self, source: str):
+        self.source = source
+        #: by what is looked for: (from where, found at), which also answers later starts up to what was found
+        self._known: dict[str, tuple[int, int]] = {}
+        #: quotes from which on no ">" ends a tag
+        self._open: set[int] = set()
+
+    def _next(self, what: str, at: int) -> int:
+        start, found = self._known.get(what, (len(self.source) + 1, -1))
+        if not (start <= at and (found < 0 or found >= at)):
+            if what == "special":
+                match = _SPECIAL.search(self.source, at)
+                found = match.start() if match else -1
+            else:
+                found = self.source.find(what, at)
+            self._known[what] = at, found
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the ">" of a tag stands whose attributes start at ``at``: outside quoted values, else the first; -1 if there is none."""
+        passed, here = [], at
+        while (mark := self._next("special", here)) >= 0 and mark not in self._open:
+            if self.source[mark] == ">":
+                return mark
+            passed.append(mark)
+            close = self._next(self.source[mark], mark + 1)
+            if close < 0:
+                break
+            here = close + 1
+        self._open.update(passed)
+        return self._next(">", at)
+
+
 class Tree:
     """Nodes in page order, parents first. Elements have a tag, runs of text have the tag "#text".
 
@@ -65,30 +102,38 @@ class Tree:
         self._linked = 0
         #: open elements as (tag, node); inline ones have the node of their block
         self._open: list[tuple[str, int]] = [("#root", 0)]
+        #: depths of the open elements by tag, of blocks other than p, and how many are hidden or links
+        self._depths: defaultdict[str, list[int]] = defaultdict(list)
+        self._blocks: list[int] = []
+        self._counts = [0, 0]
         self._read(source)
 
     def _read(self, source: str) -> None:
         at, hidden, links = 0, 0, 0
-        match, stack = _TOKEN.search, self._open
+        match, stack, tags = _TOKEN.search, self._open, _Tags(source)
         while True:
             found = match(source, at)
             if found is None:
                 self._take(source[at:], hidden, links)
                 break
+            name = found[2] if found.re is _TOKEN else None
+            end = tags.end(found.end()) if name else 0
+            if end < 0:
+                match = _LAST.search
+                continue
             if found.start() > at:
                 self._take(source[at : found.start()], hidden, links)
-            at = found.end()
-            name = found[2] or found[5]
+            at = end + 1 if name else found.end()
             if not name:
                 continue
             tag = name.lower()
-            if found[1] or found[4]:
+            if found[1]:
                 if tag == "br":
                     self._take(" ", hidden, links)
                 elif self._end(tag):
                     hidden, links = self._state()
                 continue
-            attributes = found[3] or found[6] or ""
+            attributes = source[found.end() : end]
             if tag == "br":
                 self._take(" ", hidden, links)
                 continue
@@ -119,14 +164,17 @@ class Tree:
                     self._flush(node)
                 at = source.find(">", end) + 1 or len(source) if close else end
                 continue
-            if len(stack) < 4096:
-                stack.append((tag, node))
-                hidden += tag in HIDDEN
-                links += tag == "a"
+            self._depths[tag].append(len(stack))
+            if tag in BLOCK and tag != "p":
+                self._blocks.append(len(stack))
+            stack.append((tag, node))
+            self._counts[0] += tag in HIDDEN
+            self._counts[1] += tag == "a"
+            hidden, links = self._state()
         self._flush()
 
     def _state(self) -> tuple[int, int]:
-        return sum(t in HIDDEN for t, _ in self._open), sum(t == "a" for t, _ in self._open)
+        return self._counts[0], self._counts[1]
 
     def _add(self, tag: str, parent: int, names: list[str], text: str = "", linked: int = 0) -> int:
         self.tag.append(tag)
@@ -157,24 +205,27 @@ class Tree:
         """Close open elements down to ``depth``; a block among them ends the run of text."""
         if any(t in BLOCK for t, _ in self._open[depth:]):
             self._flush()
+        for tag, _ in reversed(self._open[depth:]):
+            self._depths[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self._blocks.pop()
+            self._counts[0] -= tag in HIDDEN
+            self._counts[1] -= tag == "a"
         del self._open[depth:]
 
+    def _innermost(self, tags) -> int:
+        """Depth of the innermost open element with one of ``tags``; 0 if there is none."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
+
     def _close(self, tags: set, limits) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self._open[depth][0] in tags:
-                self._pop(depth)
-                return
-            if self._open[depth][0] in limits:
-                return
+        depth = self._innermost(tags)
+        if depth and depth >= self._innermost(limits):
+            self._pop(depth)
 
     def _end(self, tag: str) -> bool:
         """An end tag closes the nearest open element of its name; others are ignored."""
-        block = tag in BLOCK
-        for depth in range(len(self._open) - 1, 0, -1):
-            open_tag = self._open[depth][0]
-            if open_tag == tag:
-                self._pop(depth)
-                return True
-            if not block and tag not in HIDDEN and open_tag in BLOCK and open_tag != "p":
-                return False
-        return False
+        depth = self._innermost((tag,))
+        if not depth or (tag not in BLOCK and tag not in HIDDEN and self._blocks and self._blocks[-1] > depth):
+            return False
+        self._pop(depth)
+        return True

@@ -175,3 +175,22 @@ def test_extract_edges(spark):
     assert {r.n_chars for r in out if r.page_id in (2, None)} == {0}
     assert [r.n_chars for r in out if r.page_id == 3] == [60_000 * 19 - 1]
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_no_length_changes_what_a_tag_or_element_is():
+    for size in (9, 9_000, 900_000):
+        for quote in "\"'":
+            tree = Tree(f"<div data-x={quote}{'v' * size}<b>leak</b> words{quote}>real</div>")
+            assert [t for t in tree.text if t] == ["real"]
+    for depth in (9, 5_000, 100_000):
+        tree = Tree("<div>" + "<i>" * depth + "<svg>drawn</svg><a>link</a>" + "</i>" * depth + " end</div><p>after</p>")
+        assert [t for t in tree.text if t] == ["link end", "after"] and sum(tree.linked) == 4
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    started = time.process_time()
+    for part in ("<a '>' ", '<a ">', "<a", "<ul><b><li></li>"):
+        Tree(part * 30_000)
+    assert time.process_time() - started < 30
