@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-The first tier is a table of the lengths, in tokens, of frequent pre-tokens (runs without white space), counted on a
-bounded sample and broadcast; it only saves work, a pre-token that it lacks is counted like any other. The
-second tier is each worker's cache; what neither has is encoded by the vocabulary file's library. No pre-token
-is ever shuffled.
+The first tier is a table of the lengths, in tokens, of frequent pre-tokens (runs without white space) of all documents,
+found by a bounded summary in each task, merged and broadcast; it only saves work, a pre-token that it lacks is counted
+like any other. The second tier is each worker's cache; what neither has is encoded by the vocabulary file's library. Of
+pre-tokens only the summaries are shuffled.
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ from .bpe import default_vocabulary, has_unknown, pieces, segments
 from .common import map_arrow
 
 LIMIT = 2048
-#: Bounds of the broadcast table: its entries, and the documents whose pre-tokens are counted for it.
+#: Entries of the broadcast table, and of the summary of each task.
 TABLE = 1 << 15
-SAMPLE_DOCS = 1024
 CACHE = 1 << 18
 
 
-def frequent_pieces(docs: DataFrame, special: list[str], size: int = TABLE, sample: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``size`` frequent pre-tokens of at most ``sample`` documents (the first by hash of the id)."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def _reduced(found: Counter, size: int) -> Counter:
+    """Misra-Gries: the ``size`` largest counts less the largest of the rest, so a sum of such summaries misses at most its share."""
+    if len(found) <= size:
+        return found
+    top = heapq.nlargest(size + 1, found.items(), key=lambda x: x[1])
+    least = top[-1][1]
+    return Counter({w: n - least for w, n in top if n > least})
+
+
+def frequent_pieces(docs: DataFrame, special: list[str], size: int = TABLE) -> list[str]:
+    """At most ``size`` frequent pre-tokens of all documents; each task holds some times ``size`` counters at most."""
     pattern = "|".join(map(re.escape, special))
 
     def count(batches):
@@ -41,10 +47,12 @@ def frequent_pieces(docs: DataFrame, special: list[str], size: int = TABLE, samp
                 for part in segments(text.as_py() or "", cut):
                     if part not in special:
                         found.update(pieces(part))
-        top = heapq.nlargest(size, found.items(), key=lambda x: x[1])
+                if len(found) > 4 * size:
+                    found = _reduced(found, size)
+        top = list(_reduced(found, size).items())
         yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    some = map_arrow(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), count, "piece string, n long")
+    some = map_arrow(docs.select("text"), count, "piece string, n long")
     rows = some.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
     return [r["piece"] for r in rows.collect()]
 

@@ -127,3 +127,10 @@ def test_table_only_saves_work(library):
     texts = [t or "" for t in HARD]
     counted = token_counts.Lengths({"hello,": 2, "a": 1}, token_counts._tokenizer(open(PATH, encoding="utf-8").read()))
     assert counted.count(texts) == [len(expected(library, t)[0]) for t in texts]
+
+
+def test_frequent_pieces_come_from_all_documents(docs):
+    rows = [(i, f"common own{i} " + "often " * (i % 3)) for i in range(2000)] + [(None, "unnamed")]
+    found = token_counts.frequent_pieces(docs(*rows), ["<|x|>"], 4096)
+    assert sorted(found) == sorted(["common", "often", "unnamed"] + [f"own{i}" for i in range(2000)])
+    assert set(token_counts.frequent_pieces(docs(*rows), ["<|x|>"], 20)) == {"common", "often"}
