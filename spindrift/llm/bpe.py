@@ -4,8 +4,8 @@
 gadget for each merge, in order of rank: wherever the left token's arc leads to a state with the right token's
 arc, a new arc with the merged label joins it, and the right arc leaves the state behind the left token. What
 remains is a deterministic automaton over tokens that accepts the one right tokenization of each word and
-no other (all arcs of a label lead to the same state). Encoding walks its tables through a word, longest
-labels first, and returns over positions known to fail; decoding emits the labels of the arcs.
+no other (all arcs of a label lead to the same state). It is composed with the labels' spelling, so encoding walks tables
+through the bytes of a word once; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -86,98 +88,212 @@ def has_unknown(text: str) -> bool:
 
 
 class Automaton:
-    """``target``: the state behind each label; ``arcs``: a bit for each state and label; ``ids`` by label text."""
+    """Which label may follow in each state, and the state behind each label.
+
+    Merged labels form a tree: the left part of a merge is the parent. If a merge takes label b away from a state, it also takes
+    the labels that later merges put under b, but not those that are there already. With the children of every label
+    in order of their age, the youngest first, each removal is therefore one interval of the tree's depth-first order. A state
+    is kept as the sorted edges of its intervals (``edges`` from ``first[state]`` on): a label has an arc there
+    if its place lies outside all of them, which a bisection tells.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         self.suffix, self.ids = suffix, vocab
         self.labels = {i: s for s, i in vocab.items()}
-        #: by the first two characters: the longest label inside a word, and the longest that ends one
-        self.reach: dict[str, tuple[int, int]] = {}
-        for text in vocab:
-            ends = bool(suffix) and text.endswith(suffix) and len(text) > len(suffix)
-            bare = text.removesuffix(suffix) if ends else text
-            inner, last = self.reach.get(bare[:2], (1, 1))
-            self.reach[bare[:2]] = (inner, max(last, len(bare))) if ends else (max(inner, len(bare)), last)
-        self._compile(merges)
-
-    def _compile(self, merges: list) -> None:
-        if any(self.ids[x + y] < max(self.ids[x], self.ids[y]) for x, y in merges):
+        self._compile([(vocab[x], vocab[y], vocab[x + y]) for x, y in merges])
+        self._spell()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "labels"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.labels = {i: s for s, i in self.ids.items()}
+
+    def _spell(self) -> None:
+        """Compose the labels with their spelling: a byte automaton whose nodes tell what labels end there, the longest first.
+
+        ``next`` leads from node * 256 + byte to a node, ``fail`` to the node of its longest ending, which a byte without
+        an entry goes on from. ``inside`` and ``at_end`` are a pair for labels within a word and at its end: the label of each
+        node, and the nearest node with a label on the way along ``fail``, itself included.
+        """
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        self.next: dict[int, int] = {}
+        self.size = array("i", [0]) * len(self.target)
+        self.depth = array("i", [0])
+        inside, at_end = array("i", [-1]), array("i", [-1])
+        for text, label in self.ids.items():
+            last = bool(self.suffix) and text.endswith(self.suffix) and len(text) > len(self.suffix)
+            bare = text.removesuffix(self.suffix) if last else text
+            if self.place[label] < 0 or any(c not in byte for c in bare):
+                continue
+            node = 0
+            for c in bare:
+                key = node << 8 | byte[c]
+                above, node = node, self.next.get(key, 0)
+                if not node:
+                    node = self.next[key] = len(self.depth)
+                    self.depth.append(self.depth[above] + 1)
+                    inside.append(-1)
+                    at_end.append(-1)
+            self.size[label] = len(bare)
+            if last or not self.suffix:
+                at_end[node] = label
+            if not last:
+                inside[node] = label
+        self.fail = array("i", [0]) * len(self.depth)
+        near_inside, near_end = array("i", [0]) * len(self.depth), array("i", [0]) * len(self.depth)
+        for key in sorted(self.next, key=lambda k: self.depth[k >> 8]):
+            above, node = key >> 8, self.next[key]
+            if above:
+                self.fail[node] = self._step(self.fail[above], key & 255)
+            near_inside[node] = node if inside[node] >= 0 else near_inside[self.fail[node]]
+            near_end[node] = node if at_end[node] >= 0 else near_end[self.fail[node]]
+        self.inside, self.at_end = (inside, near_inside), (at_end, near_end)
+
+    def _step(self, node: int, byte: int) -> int:
+        while (found := self.next.get(node << 8 | byte)) is None and node:
+            node = self.fail[node]
+        return found or 0
+
+    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
+        if any(c < max(x, y) for x, y, c in merges):
             raise ValueError("merged labels must have larger ids than their parts")
-        width = max(self.labels, default=0) // 8 + 1
-        arcs = np.zeros((width * 8, 128), np.uint8)  # a row of states for each label
-        target = np.full(width * 8, FINAL, np.int32)
+        if len({c for _, _, c in merges}) < len(merges):
+            raise ValueError("two merges make the same label")
+        size = max(self.ids.values(), default=-1) + 1
+        target, left, made = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [-1]) * size
         for symbol in byte_characters():
             for text, state in ((symbol, START), (symbol + self.suffix, FINAL)):
                 if (i := self.ids.get(text)) is not None:
-                    arcs[i, START >> 3] |= 1 << (START & 7)
                     target[i] = state
-        owners = {START: 1 + int((target == START).sum()), FINAL: len(target)}
-        states = 2
-        for x, y in merges:
-            a, b, c = self.ids[x], self.ids[y], self.ids[x + y]
-            at = int(target[a])
-            if not arcs[b, at >> 3] >> (at & 7) & 1:
+        owners = {START: 1 + sum(t == START for t in target), FINAL: size}
+        # of each state: what was taken from it (label, when), the state that it was copied from, and when
+        taken: list[dict[int, int]] = [{}, {}]
+        parent, born = [-1, -1], [0, 0]
+
+        def lacks(state: int, label: int) -> bool:
+            until = len(merges)
+            while state >= 0:
+                own, at, when = taken[state], label, len(merges)
+                while at >= 0:
+                    if (gone := own.get(at, until)) < until and gone <= when:
+                        return True
+                    at, when = left[at], made[at]
+                until, state = min(until, born[state]), parent[state]
+            return False
+
+        for now, (a, b, c) in enumerate(merges):
+            at = target[a]
+            if at < 0 or target[b] < 0 or at == FINAL or lacks(at, b):
                 continue  # the pair never meets: an earlier merge takes one of the two
-            after = int(target[b])
+            after = target[b]
             owners[after] = owners.get(after, 0) + 1
             if owners[at] > 1:
-                if states >= 8 * arcs.shape[1]:
-                    arcs = np.concatenate([arcs, np.zeros_like(arcs)], axis=1)
-                bits = arcs[:c, at >> 3] >> (at & 7) & 1  # labels of later merges have no arcs yet
-                arcs[:c, states >> 3] |= bits << (states & 7)
                 owners[at] -= 1
-                owners[states] = 1
-                at = target[a] = states
-                states += 1
-            arcs[b, at >> 3] &= 255 ^ (1 << (at & 7))
-            arcs[c] = arcs[a]
-            target[c] = after
-        self.states = states
-        # turned to a row of labels for each state, some states at a time: the whole in single bits would be large
-        rows = [
-            np.packbits(np.unpackbits(arcs[:, at : at + 64], axis=1, bitorder="little").T, axis=1, bitorder="little").tobytes()
-            for at in range(0, arcs.shape[1], 64)
-        ]
-        self.table = b"".join(rows)[: states * width]
-        self.width = width
-        self.target = target.tolist()
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of one pre-token given in byte characters."""
-        size, table, width, target, get, suffix = len(word), self.table, self.width, self.target, self.ids.get, self.suffix
-        dead: set[tuple[int, int]] = set()
-        path: list[int] = []
-        tries: list = []
-        position, state, ends = 0, START, self._ends(word, 0, size)
-        while True:
-            row = state * width
-            for end in ends:
-                label = get(word[position:end] if end < size else word[position:] + suffix)
-                if label is None or not table[row + (label >> 3)] >> (label & 7) & 1:
-                    continue
-                path.append(label)
-                if end == size:
-                    return path
-                if dead and (end, target[label]) in dead:
-                    path.pop()
-                    continue
-                tries.append((position, state, ends))
-                position, state = end, target[label]
-                ends = self._ends(word, position, size)
+                parent.append(at)
+                born.append(now)
+                taken.append({})
+                at = target[a] = len(taken) - 1
+                owners[at] = 1
+            taken[at][b] = now
+            target[c], left[c], made[c] = after, a, now
+        self.states, self.target = len(taken), target
+        self._order(taken, parent, born, left, made)
+
+    def _order(self, taken: list[dict[int, int]], parent: list[int], born: list[int], left, made) -> None:
+        """Place the labels in depth-first order and write down each state's edges."""
+        size = len(self.target)
+        children: list[list[int]] = [[] for _ in range(size)]
+        for label in sorted((i for i in range(size) if left[i] >= 0), key=made.__getitem__, reverse=True):
+            children[left[label]].append(label)
+        self.place, end = array("i", [-1]) * size, array("i", [-1]) * size
+        count = 0
+        for root in range(size):
+            if self.target[root] < 0 or left[root] >= 0:
+                continue
+            stack = [(root, iter(children[root]))]
+            self.place[root] = count
+            count += 1
+            while stack:
+                if (child := next(stack[-1][1], None)) is not None:
+                    self.place[child] = count
+                    count += 1
+                    stack.append((child, iter(children[child])))
+                else:
+                    end[stack.pop()[0]] = count
+        spans_of: list[list[tuple[int, tuple[int, int]]]] = []
+        for own in taken:
+            found = []
+            for label, when in own.items():
+                older = bisect_left(children[label], 1 - when, key=lambda x: -made[x])
+                stop = self.place[children[label][older]] if older < len(children[label]) else end[label]
+                found.append((when, (self.place[label], stop)))
+            spans_of.append(found)
+        self.edges, self.first = array("i"), array("i")
+        for state in range(self.states):
+            self.first.append(len(self.edges))
+            spans, until, at = [(0, count)] if state == FINAL else [], size, state
+            while at >= 0:
+                spans += [span for when, span in spans_of[at] if when < until]
+                until, at = min(until, born[at]), parent[at]
+            reach = -1
+            for lo, hi in sorted(spans):
+                if lo > reach:
+                    self.edges.extend((lo, hi))
+                elif hi > reach:
+                    self.edges[-1] = hi
+                reach = max(reach, hi)
+        self.first.append(len(self.edges))
+
+    def has_arc(self, state: int, label: int) -> bool:
+        lo = self.first[state]
+        return self.place[label] >= 0 and not (bisect_right(self.edges, self.place[label], lo, self.first[state + 1]) - lo) & 1
+
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of one pre-token given in bytes: one walk over the bytes, then over the ends of labels that it met, from the word's end on.
+
+        Of every beginning of the word the automaton accepts just one tokenization: ``state`` has where it leads, ``label`` its
+        last label. Only beginnings that some label could follow are looked into, each once.
+        """
+        size, step, fail, depth = len(word), self.next.get, self.fail, self.depth
+        place, first, edges, target = self.place, self.first, self.edges, self.target
+        (labels, near), node = self.inside, 0
+        nodes = [0]
+        for byte in word:
+            while (found := step(node << 8 | byte)) is None and node:
+                node = fail[node]
+            node = found or 0
+            nodes.append(node)
+        state, label = [-1] * (size + 1), [-1] * (size + 1)
+        state[0] = START
+        waiting = []
+        end, own, own_near = size, *self.at_end
+        at = own_near[node]
+        while end:
+            if not at:
+                raise ValueError(f"no tokenization of {word!r}")
+            begin = end - depth[at]
+            here = state[begin]
+            if here < 0:
+                waiting.append((end, at))
+                end, at, own, own_near = begin, near[nodes[begin]], labels, near
+                continue
+            x, lo = own[at], first[here]
+            if (bisect_right(edges, place[x], lo, first[here + 1]) - lo) & 1:
+                at = own_near[fail[at]]
+                continue
+            state[end], label[end] = target[x], x
+            if not waiting:
                 break
-            else:
-                dead.add((position, state))
-                if not tries:
-                    raise ValueError(f"no tokenization of {word!r}")
-                path.pop()
-                position, state, ends = tries.pop()
-
-    def _ends(self, word: str, position: int, size: int):
-        """Where the next label may end, the farthest first."""
-        inner, last = self.reach.get(word[position : position + 2], (1, 1))
-        if size - position <= last:
-            return iter((size, *range(min(position + inner, size - 1), position, -1)))
-        return iter(range(min(position + inner, size - 1), position, -1))
+            end, at = waiting.pop()
+            if end == size:
+                own, own_near = self.at_end
+        path = []
+        while size:
+            path.append(label[size])
+            size -= self.size[label[size]]
+        return path[::-1]
 
 
 class Vocabulary:
@@ -205,14 +321,13 @@ class Vocabulary:
         self.words = Recent(self.word, WORDS)
         self.split = pre_tokens()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.bytes = byte_characters()
+        self.byte = {c: b for b, c in enumerate(byte_characters())}
         self.names = self.automaton.labels | {i: s for s, i in self.special.items()}
         self.library = None
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token, as little-endian 32-bit integers."""
-        plain = word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()])
-        return _packed(self.automaton.encode(plain))
+        return _packed(self.automaton.encode(word.encode()))
 
     def ids_of(self, piece: str) -> bytes:
         """Ids of a normalised piece without white space."""
@@ -229,7 +344,7 @@ class Vocabulary:
 
             self.library = Tokenizer.from_str(self.splitter)
         words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return b"".join([_packed(self.automaton.encode(word)) for word, _ in words])
+        return b"".join([_packed(self.automaton.encode(bytes(map(self.byte.__getitem__, word)))) for word, _ in words])
 
     def text_of(self, ids) -> str:
         """The labels of the ids, with one space between two."""
