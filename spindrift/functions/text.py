@@ -64,9 +64,9 @@ def sanitize_name(name) -> Column:
 
 
 def project_id(root) -> Column:
-    """The sanitised last part of a path and eight hex digits of its hash."""
-    last = F.element_at(F.split(F.regexp_replace(root, "/+$", ""), "/"), -1)
-    return F.concat_ws("-", sanitize_name(last), F.substring(F.lower(F.lpad(F.hex(F.xxhash64(root)), 16, "0")), 9, 8))
+    """The sanitised last part of a path and eight hex digits of the MD5 of the path without a slash at its end."""
+    path = F.regexp_replace(root, "/+$", "")
+    return F.concat_ws("-", sanitize_name(F.element_at(F.split(path, "/"), -1)), F.substring(F.md5(path), 1, 8))
 
 
 def human_bytes(size) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,30 @@ class Provider(Protocol):
 
     def embed(self, texts: list[str]) -> list: ...
 
+    def embed_query(self, text: str): ...
+
+    def healthy(self) -> bool: ...
+
+    def capabilities(self) -> dict: ...
+
+
+class BaseProvider:
+    """What providers share: a query is embedded like any text, a provider is well if it embeds one."""
+
+    local, batches = True, True
+
+    def embed_query(self, text: str):
+        return self.embed([text])[0]
+
+    def healthy(self) -> bool:
+        try:
+            return len(self.embed_query("x")) == self.dimension
+        except Exception:  # noqa: BLE001  whatever goes wrong, it is not well
+            return False
+
+    def capabilities(self) -> dict:
+        return {"name": self.name, "dimension": self.dimension, "max_batch": self.max_batch, "local": self.local, "batches": self.batches}
+
 
 def model_name(name: str) -> str:
     """The full name of a model or alias; unknown ones are the default."""
@@ -40,8 +64,8 @@ def model_dimension(name: str) -> int:
     return DIMENSIONS[model_name(name)]
 
 
-class HashProvider:
-    """Deterministic unit vectors from a hash of the text: for tests and plans without a model."""
+class HashProvider(BaseProvider):
+    """Deterministic unit vectors from the MD5 of the text: for tests and plans without a model."""
 
     def __init__(self, dimension: int = 768, max_batch: int = BATCH):
         self.name, self.dimension, self.max_batch = "hash", dimension, max_batch
@@ -50,17 +74,56 @@ class HashProvider:
         out = []
         for t in texts:
             # fixed values of the generator: the multiplier and increment of a 64-bit congruential sequence
-            state, values = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), []
+            state, values = int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:16], 16), []
             for _ in range(self.dimension):
                 state = (state * 1103515245 + 12345) % (1 << 64)
                 values.append((state // 65536) % 1000 / 1000)
-            v = np.array(values, np.float32)
+            v = np.array(values, np.float64)
             norm = float(np.linalg.norm(v))
-            out.append(v / norm if norm else v)
+            out.append((v / norm if norm else v).astype(np.float32))
         return out
 
-    def healthy(self) -> bool:
-        return True
+
+_sessions: dict[tuple[str, str], tuple] = {}
+
+
+class LocalModelProvider(BaseProvider):
+    """A transformer in an ONNX file with its tokenizer file: token vectors averaged under the attention mask, to length one.
+
+    Only paths travel with a task; each worker process loads a model once. Paths must be readable on every worker.
+    """
+
+    def __init__(self, model: str, tokenizer: str, dimension: int, name: str = "local", max_batch: int = BATCH, max_tokens: int = 512):
+        self.model, self.tokenizer, self.dimension, self.name = model, tokenizer, dimension, name
+        self.max_batch, self.max_tokens = max_batch, max_tokens
+
+    def _loaded(self):
+        key = self.model, self.tokenizer
+        if key not in _sessions:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = 1  # a worker process stands for one core
+            _sessions[key] = onnxruntime.InferenceSession(self.model, options, providers=["CPUExecutionProvider"]), Tokenizer.from_file(self.tokenizer)
+        return _sessions[key]
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        session, tokenizer = self._loaded()
+        wanted = {i.name for i in session.get_inputs()}
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), self.max_batch):
+            ids = [e.ids[: self.max_tokens] or [0] for e in tokenizer.encode_batch(texts[at : at + self.max_batch])]
+            width = max(map(len, ids))
+            matrix, mask = np.zeros((len(ids), width), np.int64), np.zeros((len(ids), width), np.int64)
+            for row, seen, own in zip(matrix, mask, ids, strict=True):
+                row[: len(own)], seen[: len(own)] = own, 1
+            given = {"input_ids": matrix, "attention_mask": mask, "token_type_ids": np.zeros_like(matrix)}
+            states = session.run(None, {k: v for k, v in given.items() if k in wanted})[0].astype(np.float64)
+            mean = (states * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
+            norm = np.linalg.norm(mean, axis=1, keepdims=True)
+            out += list((mean / np.where(norm > 0, norm, 1)).astype(np.float32))
+        return out
 
 
 class TokenBucket:
@@ -79,12 +142,18 @@ class TokenBucket:
         self.held -= 1
 
 
-class RemoteProvider:
-    """A remote service behind ``call(texts) -> vectors``: rate limit, batches, and retries with doubling delays."""
+class RemoteProvider(BaseProvider):
+    """A remote service behind ``call(texts) -> vectors``: rate limit, batches, and retries with doubling delays.
 
-    def __init__(self, call, name: str, dimension: int, max_batch: int = 2048, per_minute: float = 3500, retries: int = 3, delay: float = 1.0):
+    ``per_minute`` is the service's limit; as each worker process has a bucket of its own, ``workers`` (how many run at
+    once) divides it.
+    """
+
+    local = False
+
+    def __init__(self, call, name: str, dimension: int, max_batch: int = 2048, per_minute: float = 3500, retries: int = 3, delay: float = 1.0, workers: int = 1):
         self.call, self.name, self.dimension, self.max_batch = call, name, dimension, min(max_batch, 2048)
-        self.per_minute, self.retries, self.delay = per_minute, retries, delay
+        self.per_minute, self.retries, self.delay = per_minute / workers, retries, delay
         self._bucket: TokenBucket | None = None
 
     def embed(self, texts: list[str]) -> list:
@@ -103,7 +172,22 @@ class RemoteProvider:
         return out
 
 
-class FallbackProvider:
+def json_service(url: str, model: str, key: str | None = None, timeout: float = 30.0):
+    """A ``call`` for ``RemoteProvider``: one POST of {model, input} for each batch, answered by {data: [{index, embedding}]}."""
+
+    def call(texts: list[str]) -> list:
+        import json
+        from urllib.request import Request, urlopen
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with urlopen(Request(url, json.dumps({"model": model, "input": texts}).encode(), headers), timeout=timeout) as answer:  # noqa: S310
+            rows = json.load(answer)["data"]
+        return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
+
+    return call
+
+
+class FallbackProvider(BaseProvider):
     """Tries providers in order; all must have one dimension."""
 
     def __init__(self, providers: list):

@@ -18,8 +18,15 @@ def evaluate(results: DataFrame, expected: DataFrame, digits: int = 6) -> DataFr
     """
     wanted = expected.select("query_id", "item").distinct().withColumn("hit", F.lit(1))
     totals = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
+    return measures(results.select("query_id", "rank", "item").join(wanted, ["query_id", "item"], "left"), totals, digits)
+
+
+def measures(judged: DataFrame, totals: DataFrame, digits: int = 6) -> DataFrame:
+    """The same from results that are judged already (query_id, rank, item, hit: 1 or null) and (query_id, n_expected).
+
+    Where what is expected follows from a rule, such as a shared label, the expected items need not be listed.
+    """
     gain = F.when(F.col("rank") == 1, 1.0).otherwise(1 / F.log2(F.col("rank")))
-    judged = results.select("query_id", "rank", "item").join(wanted, ["query_id", "item"], "left")
     per_query = judged.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_results"),
         F.count("hit").alias("n_relevant"),

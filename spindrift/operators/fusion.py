@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.7, 0.3
 OVERFETCH = 3
 
@@ -16,8 +18,22 @@ def rrf_score(ranks, k: int = RRF_K) -> Column:
     return F.aggregate(ranks, F.lit(0.0), lambda acc, x: acc + x["weight"] / (k + x["rank"]))
 
 
+def ranked_whole(results: DataFrame, order: list) -> DataFrame:
+    """Results of any number with a 1-based rank in a total order.
+
+    Rows are range-partitioned and sorted by all tasks; a row's rank is its place in its partition and the sizes of the partitions before.
+    """
+    held = checkpointed(results.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33).alias("_part")
+    sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = held.select("*", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn("rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
+
+
 def ranked(results: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
-    """Results with a 1-based rank in a total order, for each value of ``by`` if given."""
+    """Results with a 1-based rank in a total order, for each value of ``by`` if given; else a cut list of hits (one task ranks it)."""
     place = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     return results.withColumn("rank", F.row_number().over(place).cast("long"))
 

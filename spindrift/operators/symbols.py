@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import matches_glob, same_text
+from ..shared import broadcast_if_small
 
 FIND_LIMIT, REFERENCE_LIMIT, MAX_EDITS = 20, 50, 3
 
@@ -59,9 +60,14 @@ def list_symbols(table: DataFrame, file_path: str | None = None, kinds: list[str
 
 
 def by_kind(listed: DataFrame) -> DataFrame:
-    """(kind, symbols): the listed symbols of each kind by line."""
-    one = F.struct("start_line", "end_line", "name", "file_path", "signature", "parent")
-    return listed.groupBy("kind").agg(F.sort_array(F.collect_list(one)).alias("symbols"))
+    """The listed symbols by kind and line, each with the number of its kind. Groups stay rows: a kind may have any number of symbols."""
+    totals = listed.groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
+    return listed.join(broadcast_if_small(totals), "kind").orderBy("kind", "start_line", "name", "file_path")
+
+
+def count(table: DataFrame) -> DataFrame:
+    """One row: how many symbols, of how many names."""
+    return table.agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("name").alias("names"))
 
 
 def references_text(chunks: DataFrame, name: str, exclude_file: str | None = None, limit: int = REFERENCE_LIMIT) -> DataFrame:

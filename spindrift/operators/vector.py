@@ -12,6 +12,8 @@ from ..functions.text import distance_score
 OVERFETCH = 3
 #: Queries of a batch that travel to every task at once; larger batches go in several passes.
 QUERY_BLOCK = 4096
+#: Digits by which distances are ordered, so that equal vectors tie whichever way they are summed.
+ORDER_DIGITS = 12
 
 
 def distance(a, b, metric: str = "l2") -> Column:
@@ -37,10 +39,10 @@ def literal(vector) -> Column:
 def vector_topk(rows: DataFrame, vector, k: int, key: str = "id", column: str = "vector", metric: str = "l2", digits: int = 6) -> DataFrame:
     """The k rows nearest to one vector with distance and score, nearest first, ties by key.
 
-    One scan with a bounded heap in each task; nothing is shuffled but the k best of each.
+    One scan with a bounded heap in each task; nothing is shuffled but the k best of each. Distances are rounded to ``digits`` last.
     """
-    found = rows.withColumn("distance", F.round(distance(F.col(column), literal(vector), metric), digits))
-    ordered = found.orderBy("distance", key).limit(k)
+    found = rows.withColumn("distance", F.round(distance(F.col(column), literal(vector), metric), ORDER_DIGITS))
+    ordered = found.orderBy("distance", key).limit(k).withColumn("distance", F.round("distance", digits))
     return ordered.withColumn("score", F.round(distance_score(F.col("distance")), digits))
 
 
@@ -51,19 +53,21 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, key: str = "i
     so what is shuffled is bounded by tasks x queries x k, not by pairs. Null vectors are skipped.
     """
     found = None
-    total = queries.count()
     numbered = queries.where("vector is not null").select("query_id", "vector")
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    total = numbered.count()
+    # blocks by hash, filled to four fifths on average: no block of more than QUERY_BLOCK distinct ids is to be expected
+    blocks = 1 if total <= QUERY_BLOCK else -(-total * 5 // (QUERY_BLOCK * 4))
     for block in range(blocks):
         some = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        part = _topk_block(rows, some, k, key, column, digits)
+        part = _topk_block(rows, some, k, key, column)
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy("distance", "key")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-    return ranked.withColumn("score", F.round(distance_score(F.col("distance")), digits))
+    rounded = ranked.withColumn("distance", F.round("distance", digits))
+    return rounded.withColumn("score", F.round(distance_score(F.col("distance")), digits))
 
 
-def _topk_block(rows: DataFrame, queries: DataFrame, k: int, key: str, column: str, digits: int) -> DataFrame:
+def _topk_block(rows: DataFrame, queries: DataFrame, k: int, key: str, column: str) -> DataFrame:
     got = queries.collect()  # one block of the stated query set
     ids = [r["query_id"] for r in got]
     matrix = np.array([r["vector"] for r in got], np.float64)
@@ -81,7 +85,7 @@ def _topk_block(rows: DataFrame, queries: DataFrame, k: int, key: str, column: s
             size = q.shape[1]
             m = valid.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
             for lo in range(0, len(names), 64):
-                d = np.round(_squared_distances(m, q[lo : lo + 64]), digits)
+                d = np.round(_squared_distances(m, q[lo : lo + 64]), ORDER_DIGITS)
                 # only what may enter a query's k best is sorted; ties at the edge go by key
                 edge = np.partition(d, k - 1, axis=0)[k - 1] if len(m) > k else np.full(d.shape[1], np.inf)
                 for j in range(d.shape[1]):

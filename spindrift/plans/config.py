@@ -15,6 +15,7 @@ from ..operators.fusion import KEYWORD_WEIGHT, RRF_K, VECTOR_WEIGHT
 class IndexerConfig:
     extensions: tuple = EXTENSIONS
     ignore_patterns: tuple = IGNORED
+    global_ignore_file: str | None = None
     chunk_size: int = CHUNK_TOKENS
     chunker_strategy: str = "ast"
     min_chunk_tokens: int = MIN_UNIT_TOKENS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +14,12 @@ from ..operators.chunking import chunk_files
 from ..operators.embedding import HashProvider, Provider, embed
 from ..operators.metrics import Metrics
 from ..sources.changes import ChangeSource
-from ..sources.files import get_file, gitignore_rules, list_tree, read_tree, without_ignored
+from ..sources.files import get_file, ignore_rules, list_tree, read_tree, without_ignored
 from ..streaming.live import watch
 from .config import Config
-from .store import ChunkStore, KeywordIndex
+from .store import ChunkStore, KeywordIndex, scratch
 
+log = logging.getLogger(__name__)
 KEY = ["file_path", "start_line", "end_line"]
 
 
@@ -35,11 +36,7 @@ class Engine:
     def _listing(self) -> DataFrame:
         c = self.config.indexer
         files = list_tree(self.spark, self.root, c.extensions, c.ignore_patterns)
-        rules = os.path.join(self.root, ".gitignore")
-        if os.path.isfile(rules):
-            with open(rules, encoding="utf-8") as file:
-                files = without_ignored(files, gitignore_rules(file.read()))
-        return files
+        return without_ignored(files, ignore_rules(self.spark, self.root, self.config.indexer.global_ignore_file))
 
     def stale(self) -> bool:
         """Something is new, newer or gone."""
@@ -47,40 +44,47 @@ class Engine:
         return not tables.changed_files(listed, table).isEmpty() or not tables.vanished_files(listed, table).isEmpty()
 
     def index(self, force: bool = False) -> dict[str, int]:
-        """Read, chunk and embed what changed, and publish it with what went as one snapshot."""
+        """Read, chunk and embed what changed, and publish it with what went as one version.
+
+        The tree is listed once, and texts are cut into chunks once; both are written below the index and read from there.
+        """
         began, c = time.time(), self.config.indexer
-        listed = self._listing()
-        table = self.store.read(vectors=False)
-        changed = listed if force else tables.changed_files(listed, table)
-        files, read_errors = read_tree(self.spark, self.root, changed.select("file_path"), extensions=c.extensions, ignored=c.ignore_patterns)
-        chunks = chunk_files(files, "ast" if c.chunker_strategy == "ast" else "line", c.chunk_size, None, c.min_chunk_tokens, c.max_chunk_tokens)
-        rows = embed(chunks.where("error is null").drop("origin", "error"), self.provider, batch=self.config.embeddings.batch_size).persist()
-        errors = read_errors.unionByName(
-            chunks.where("error is not null").select(F.col("file_path").alias("path"), F.lit("chunking").alias("stage"), "error")
-        )
-        try:
-            n_changed, n_rows, n_errors = changed.count(), rows.count(), errors.count()
+        with scratch(self.store.paths) as held:
+            listed = held(self._listing(), "listing")
+            table = self.store.read(vectors=False)
+            changed = listed if force else held(tables.changed_files(listed, table), "changed")
+            files, read_errors = read_tree(self.spark, self.root, changed.select("file_path"), c.extensions, c.ignore_patterns)
+            chunks = held(chunk_files(files, "ast" if c.chunker_strategy == "ast" else "line", c.chunk_size, None, c.min_chunk_tokens, c.max_chunk_tokens), "chunks")
+            errors = read_errors.unionByName(
+                chunks.where("error is not null").select(F.col("file_path").alias("path"), F.lit("chunking").alias("stage"), "error")
+            )
+            n_changed, n_listed, n_errors = changed.count(), listed.count(), errors.count()
             gone = tables.vanished_files(listed, table).union(changed.select("file_path")).distinct()
+            counted = {"created": 0, "removed": 0}
             if n_changed or not gone.isEmpty():
-                self.store.merge(rows, gone)
-                self.keywords.build(self.store.read(vectors=False))
-        finally:
-            rows.unpersist()
+                asked = time.time()
+                counted = self.store.merge(embed(chunks.where("error is null").drop("origin", "error"), self.provider, batch=self.config.embeddings.batch_size), gone)
+                self.metrics.observe("embedding_latency_seconds", time.time() - asked)
+                self.metrics.count("embeddings_total", by=counted["created"])
+                self.keywords.refresh(self.store)
+                self.store.vacuum()
         self.metrics.observe("indexing_duration_seconds", time.time() - began)
         self.metrics.gauge("indexed_chunks", self.store.count())
-        return {"files": listed.count(), "changed_files": n_changed, "chunks": n_rows, "errors": n_errors}
+        log.info("indexed %s: %d of %d files, %d chunks, %d errors", self.root, n_changed, n_listed, counted["created"], n_errors)
+        return {"files": n_listed, "changed_files": n_changed, "chunks": counted["created"], "errors": n_errors}
 
     def watch(self, checkpoint: str):
-        """Start the stream that merges changes of the tree as they happen."""
+        """Start the stream that merges changes of the tree as they happen, into the table and the keyword index."""
         self.spark.dataSource.register(ChangeSource)
         c = self.config
-        stream = self.spark.readStream.format("file_changes").option("path", self.root).load()
+        stream = self.spark.readStream.format("file_changes").option("path", self.root).option("state", f"{checkpoint}/listings").load()
 
         def read(paths: DataFrame) -> DataFrame:
-            return read_tree(self.spark, self.root, paths, extensions=c.indexer.extensions, ignored=c.indexer.ignore_patterns)[0]
+            return read_tree(self.spark, self.root, paths, c.indexer.extensions, c.indexer.ignore_patterns)[0]
 
         return watch(
-            stream, self.store, read, self.provider, checkpoint, f"{c.watcher.debounce_ms} milliseconds",
+            stream, self.store, read, self.provider, checkpoint, f"{c.watcher.debounce_ms} milliseconds", keywords=self.keywords, metrics=self.metrics,
+            collect={"delay_ms": c.watcher.collection_delay_ms, "files": c.watcher.threshold_files, "rate": c.watcher.threshold_rate},
             strategy="ast" if c.indexer.chunker_strategy == "ast" else "line", extensions=c.indexer.extensions, ignored=c.indexer.ignore_patterns,
         )
 
@@ -90,13 +94,17 @@ class Engine:
         return self.spark.createDataFrame([(0, query)], "query_id long, query string")
 
     def vector_search(self, query: str, k: int = 10) -> DataFrame:
-        asked = self.provider.embed([query])[0]
-        return vector.vector_topk(self.store.read(), asked, k).select("id", "content", *KEY, "score", "file_header")
+        """Ids, paths and vectors are ranked; only the k best rows are read whole."""
+        asked = self.provider.embed_query(query)
+        near = vector.vector_topk(self.store.read().select("id", "file_path", "vector"), asked, k).select("id", "file_path", "distance", "score")
+        rows = self.store.rows_of(near, k)
+        return rows.orderBy("distance", "id").select("id", "content", *KEY, "score", "file_header")
 
     def keyword_search(self, query: str, k: int = 10) -> DataFrame:
         posted, lengths = self.keywords.tables()
-        hits = bm25.bm25_search_index(posted, lengths, self._queries(query), k).drop("query_id")
-        return hits.join(self.store.read(vectors=False).select("id", "content", *KEY), "id").orderBy(F.desc("score"), "id").select("id", "content", *KEY, "score", F.lit(None).cast("string").alias("file_header"))
+        hits = bm25.bm25_search_index(posted, lengths, self._queries(query), k, ["id", "file_path"]).select("id", "file_path", "score", "rank")
+        rows = self.store.rows_of(hits, k)
+        return rows.orderBy("rank").select("id", "content", *KEY, "score", F.lit(None).cast("string").alias("file_header"))
 
     def hybrid_search(self, query: str, k: int = 10) -> DataFrame:
         s = self.config.search
@@ -133,7 +141,7 @@ class Engine:
         return tables.list_files(self.store.read(vectors=False), glob)
 
     def get_file(self, path: str) -> str:
-        return get_file(self.root, path)
+        return get_file(self.root, path, spark=self.spark)
 
     def stats(self) -> dict:
         row = tables.counts(self.store.read(vectors=False)).first()

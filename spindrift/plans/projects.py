@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -10,7 +11,6 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DIR = ".spindrift"
@@ -55,8 +55,10 @@ def detect(start: str) -> Detected:
 
 
 def project_id(root: str) -> str:
-    name = re.sub(r"[^\w-]", "-", os.path.basename(os.path.realpath(root))).lower()
-    return f"{name}-{xxhash.xxh64_intdigest(os.path.realpath(root).encode()) & 0xFFFFFFFF:08x}"
+    """The same as ``functions.text.project_id`` of the real path."""
+    path = os.path.realpath(root).rstrip("/")
+    name = re.sub(r"[^\w-]", "-", path.rpartition("/")[2]).lower()
+    return f"{name}-{hashlib.md5(path.encode()).hexdigest()[:8]}"
 
 
 @dataclass

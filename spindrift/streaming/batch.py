@@ -52,22 +52,32 @@ def rates(changes: DataFrame, seconds: int = WINDOW_SECONDS, by: list[str] | Non
     Counts are summed by second before the window, which then sees at most one row for each second.
     """
     keys = by or []
-    second = changes.groupBy(*keys, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    # hours are dealt out; each also gets the seconds of the hour before that its windows reach back to
-    hour = F.floor(F.col("second") / 3600)
-    own = second.select("*", hour.alias("_hour"), F.lit(True).alias("_own"))
-    reach = second.where(F.col("second") % 3600 >= 3600 - seconds).select("*", (hour + 1).alias("_hour"), F.lit(False).alias("_own"))
-    back = Window.partitionBy(*keys, "_hour").orderBy("second").rangeBetween(-seconds, 0)
-    counted = own.unionByName(reach).withColumn("recent", F.sum("n").over(back)).where("_own")
+    return _rates(_by_second(changes, keys).withColumn("_counts", F.col("n")), seconds, keys)
+
+
+def _by_second(changes: DataFrame, keys: list[str]) -> DataFrame:
+    return changes.groupBy(*keys, F.unix_seconds("ts").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rates(second: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
+    """(second, n, _counts) -> (second, n, recent, rate): sums of ``_counts`` over the seconds before."""
+    # stretches of at least one window are dealt out; each also gets the seconds of the stretch before that its windows reach back to
+    size = max(3600, seconds)
+    stretch = F.floor(F.col("second") / size)
+    own = second.select("*", stretch.alias("_stretch"), F.lit(True).alias("_own"))
+    reach = second.where(F.pmod("second", F.lit(size)) >= size - seconds).select("*", (stretch + 1).alias("_stretch"), F.lit(False).alias("_own"))
+    back = Window.partitionBy(*keys, "_stretch").orderBy("second").rangeBetween(-seconds, 0)
+    counted = own.unionByName(reach).withColumn("recent", F.sum("_counts").over(back)).where("_own")
     return counted.select(*keys, "second", "n", "recent", (F.col("recent") / float(seconds)).alias("rate"))
 
 
 def mass_changes(changes: DataFrame, files: int = THRESHOLD_FILES, rate: float = THRESHOLD_RATE, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Seconds (batches) with a mass change: a batch of ``files`` or more, or ``rate`` a second over the window.
 
-    The live detector does not count batches over the first threshold into later rates; this one counts all.
+    As in the live detector, batches over the first threshold do not count into rates.
     """
-    found = rates(changes, seconds)
+    batches = _by_second(changes, []).withColumn("_counts", F.when(F.col("n") >= files, 0).otherwise(F.col("n")))
+    found = _rates(batches, seconds, [])
     reason = F.when(F.col("n") >= files, "threshold").when(F.col("rate") >= rate, "rate")
     return found.withColumn("reason", reason).where("reason is not null")
 

@@ -41,6 +41,7 @@ def test_store(spark, tmp_path, table):
         ChunkStore(spark, f"file://{tmp_path}/t", 3)
     with pytest.raises(ValueError):
         ChunkStore(spark, f"file://{tmp_path}/z", 0)
+    store.replace(table(chunk("n", "src/a.rs", mtime=6)))
     assert store.vacuum() and store.count() == 2
     moved = store.migrate(f"file://{tmp_path}/u")
     assert moved.count() == 2 and store.size() > 0
