@@ -6,6 +6,7 @@ symbols, and events for changes. Every query reads its whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..functions.chunks import DECLARATIONS, MAX_UNIT_TOKENS
 from ..operators import bm25, evaluation, fusion, metrics, symbols, tables, vector
-from ..operators.chunking import chunk_files
+from ..operators.chunking import chunk_files, units_of
 from ..operators.embedding import HashProvider, embed
-from ..sources.files import documents_as_files
-from ..streaming import batch
+from ..schemas import CHUNKS
+from ..shared import shared_dir
+from ..sources.files import documents_as_files, gitignore_rules, without_ignored
+from ..streaming import batch, live
+from . import render
+from .samples import code_files, files_sql, units_sql
+from .store import ChunkStore, KeywordIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,6 +135,22 @@ def bm25_topk(spark, d):
     return bm25.bm25_search(_docs(spark, d), _asked(spark, "The hethnd TIONRE"), 10, "doc_id", "text").select("doc_id", "score", "rank")
 
 
+def _chunks(spark, d) -> DataFrame:
+    """Documents as chunk rows: one chunk for each file."""
+    files = documents_as_files(_t(spark, d, "documents"))
+    given = {"id": F.col("doc_id").cast("string"), "start_line": F.lit(1), "end_line": F.lit(1)}
+    known = set(files.columns)
+    names = [tuple(x.split()) for x in CHUNKS.split(", ")]
+    return files.select(*((given[n] if n in given else F.col(n) if n in known else F.lit(None)).cast(t).alias(n) for n, t in names))
+
+
+def _stored(spark, rows: DataFrame) -> ChunkStore:
+    """A new store in the shared folder."""
+    store = ChunkStore(spark, f"{shared_dir(spark)}/spindrift-{uuid.uuid4().hex}/chunks", buckets=16)
+    store.append(rows)
+    return store
+
+
 _ITEMS = f"asked AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS term FROM benchmark)"
 
 
@@ -142,8 +165,11 @@ def bm25_batch(spark, d):
 
 @query(f"WITH {_ITEMS}, {_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
 def bm25_index_batch(spark, d):
-    docs = _docs(spark, d)
-    posted, lengths = bm25.postings(docs, "doc_id", "text"), bm25.doc_stats(docs, "doc_id", "text")
+    """From a stored keyword index of a stored table; ids are numbers in text, so ties go by their number."""
+    store = _stored(spark, _chunks(spark, d))
+    keywords = KeywordIndex(spark, f"{store.paths.root}/keywords")
+    keywords.refresh(store)
+    posted, lengths = (t.withColumn("doc_id", F.col("id").cast("long")) for t in keywords.tables())
     return bm25.bm25_search_index(posted, lengths, _items(spark, d), 5, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
@@ -163,9 +189,9 @@ def corpus_stats(spark, d):
     return found.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(r"""SELECT doc_id, translate(substr(text, 1, 200), '+-&|!(){}[]^"~*?:\/', '                   ') AS escaped FROM documents""")
+@query(r"""SELECT doc_id, translate(text, '+-&|!(){}[]^"~*?:\/', '                   ') AS escaped FROM documents""")
 def query_escape(spark, d):
-    return _docs(spark, d).select("doc_id", X.escape_query(F.substring("text", 1, 200)).alias("escaped"))
+    return _docs(spark, d).select("doc_id", X.escape_query(F.col("text")).alias("escaped"))
 
 
 # --- fusion
@@ -175,39 +201,39 @@ _BY_SIZE = "(SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_size DESC,
 _BY_NAME = "(SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part)"
 
 
-def _part_lists(spark, d, most: int | None = 100) -> list[DataFrame]:
+def _part_lists(spark, d, lists: int) -> list[DataFrame]:
+    """Whole ranked lists."""
     part = _t(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size", "p_name")
     orders = ([F.desc("p_retailprice"), "p_partkey"], [F.desc("p_size"), "p_partkey"], ["p_name", "p_partkey"])
-    cut = [part.orderBy(*o).limit(most) for o in orders]  # a ranked list is what a top-k report returns
-    return [fusion.ranked(c, o).select("p_partkey", "p_brand", "rank") for c, o in zip(cut, orders, strict=True)]
+    return [fusion.ranked_whole(part, o).select("p_partkey", "p_brand", "rank") for o in orders[:lists]]
 
 
 def _fused_sql(key: str, *lists: tuple[str, float], k: int = 60, limit: int = 20) -> str:
-    both = " UNION ALL ".join(f"SELECT {key}, {w} / ({k} + rank) AS part FROM {x} WHERE rank <= 100" for x, w in lists)
+    both = " UNION ALL ".join(f"SELECT {key}, {w} / ({k} + rank) AS part FROM {x}" for x, w in lists)
     return f"SELECT {key}, round(sum(part), 9) AS score FROM ({both}) GROUP BY 1 ORDER BY score DESC, {key} LIMIT {limit}"
 
 
 @query(_fused_sql("p_partkey", (_BY_PRICE, 0.7), (_BY_SIZE, 0.3)))
 def rrf_fuse(spark, d):
-    a, b, _ = _part_lists(spark, d)
+    a, b = _part_lists(spark, d, 2)
     return fusion.rrf_fuse([(a, 0.7), (b, 0.3)], ["p_partkey"], 20).select("p_partkey", "score")
 
 
 @query(_fused_sql("p_partkey", (_BY_PRICE, 0.5), (_BY_SIZE, 0.3), (_BY_NAME, 0.2), k=10))
 def rrf_three_lists(spark, d):
-    a, b, c = _part_lists(spark, d)
+    a, b, c = _part_lists(spark, d, 3)
     return fusion.rrf_fuse([(a, 0.5), (b, 0.3), (c, 0.2)], ["p_partkey"], 20, k=10).select("p_partkey", "score")
 
 
 @query(_fused_sql("p_brand", (_BY_PRICE, 0.7), (_BY_SIZE, 0.3)))
 def rrf_repeated_keys(spark, d):
-    a, b, _ = (x.select("p_brand", "rank") for x in _part_lists(spark, d))
+    a, b = (x.select("p_brand", "rank") for x in _part_lists(spark, d, 2))
     return fusion.rrf_fuse([(a, 0.7), (b, 0.3)], ["p_brand"], 20).select("p_brand", "score")
 
 
-@query("SELECT round(0.7 / 61 + 0.3 / 62, 9) AS score, p_partkey FROM part")
+@query("SELECT round(0.7 / (60 + p_size) + 0.3 / (60 + p_partkey), 9) AS score, p_partkey FROM part")
 def rrf_score(spark, d):
-    given = F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(w).alias("weight")) for r, w in ((1, 0.7), (2, 0.3))))
+    given = F.array(*(F.struct(F.col(r).cast("long").alias("rank"), F.lit(w).alias("weight")) for r, w in (("p_size", 0.7), ("p_partkey", 0.3))))
     return _t(spark, d, "part").select(F.round(fusion.rrf_score(given), 9).alias("score"), "p_partkey")
 
 
@@ -225,7 +251,8 @@ def hybrid_topk(spark, d):
 
 # --- symbols: parts by name, with their type as kind and brand as parent
 
-_SYMBOLS = "(SELECT p_name AS name, p_type AS kind, p_brand || '/' || p_partkey || '.rs' AS file_path, p_size AS start_line, p_brand AS parent FROM part)"
+_SYMBOLS = """(SELECT p_name AS name, p_type AS kind, p_brand || '/' || p_partkey || '.rs' AS file_path, p_size AS start_line, p_brand AS parent,
+  CASE p_size % 3 WHEN 1 THEN 'public' WHEN 2 THEN 'private' END AS visibility FROM part)"""
 _SYMBOL_COLUMNS = ("name", "kind", "file_path", "start_line", "score")
 
 
@@ -235,7 +262,7 @@ def _symbols(spark, d):
     return part.select(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("symbol_name"), F.col("p_type").alias("semantic_kind"), path.alias("file_path"),
         F.col("p_size").alias("start_line"), (F.col("p_size") + 5).alias("end_line"), F.lit(None).cast("string").alias("signature"),
-        F.col("p_brand").alias("parent"), F.lit("public").alias("visibility"), F.lit("rust").alias("language"),
+        F.col("p_brand").alias("parent"), F.when(F.col("p_size") % 3 > 0, F.when(F.col("p_size") % 3 == 1, "public").otherwise("private")).alias("visibility"), F.lit("rust").alias("language"),
     ).transform(symbols.symbols)
 
 
@@ -276,18 +303,42 @@ def symbol_glob(spark, d):
     return symbols.find_symbol(_symbols(spark, d), "s", "prefix", file_glob="Brand#1*/*7.rs").select(*_SYMBOL_COLUMNS)
 
 
-@query(f"SELECT kind, count(*) AS n, string_agg(name || ':' || start_line, ',' ORDER BY start_line, name, file_path) AS listed FROM {_SYMBOLS} GROUP BY 1")
+@query(f"SELECT kind, count(*) OVER (PARTITION BY kind) AS of_kind, start_line, name, file_path FROM {_SYMBOLS}")
 def list_symbols_grouped(spark, d):
-    grouped = symbols.by_kind(symbols.list_symbols(_symbols(spark, d)))
-    rows = F.array_sort(F.transform("symbols", lambda s: F.struct(s["start_line"].alias("l"), s["name"].alias("n"), s["file_path"].alias("f"))))
-    listed = F.array_join(F.transform(rows, lambda s: F.concat(s["n"], F.lit(":"), s["l"].cast("string"))), ",")
-    return grouped.select("kind", F.size("symbols").cast("long").alias("n"), listed.alias("listed"))
+    return symbols.by_kind(symbols.list_symbols(_symbols(spark, d))).select("kind", "of_kind", "start_line", "name", "file_path")
 
 
 @query(f"SELECT name, kind, file_path, start_line FROM {_SYMBOLS} WHERE parent = (SELECT min(p_brand) FROM part)")
 def list_symbols_of_parent(spark, d):
     least = _t(spark, d, "part").agg(F.min("p_brand")).first()[0]
-    return symbols.list_symbols(_symbols(spark, d), visibility="PUBLIC").where(F.col("parent") == least).select("name", "kind", "file_path", "start_line")
+    return symbols.list_symbols(_symbols(spark, d)).where(F.col("parent") == least).select("name", "kind", "file_path", "start_line")
+
+
+@query(f"SELECT name, kind, file_path, start_line FROM {_SYMBOLS} WHERE visibility = 'public'")
+def list_symbols_visible(spark, d):
+    return symbols.list_symbols(_symbols(spark, d), visibility="PUBLIC").select("name", "kind", "file_path", "start_line")
+
+
+@query(f"SELECT name, kind, file_path, start_line FROM {_SYMBOLS} WHERE kind IN (SELECT min(p_type) FROM part UNION SELECT max(p_type) FROM part)")
+def list_symbols_of_kinds(spark, d):
+    ends = _t(spark, d, "part").agg(F.min("p_type"), F.max("p_type")).first()
+    return symbols.list_symbols(_symbols(spark, d), kinds=[e.upper() for e in ends]).select("name", "kind", "file_path", "start_line")
+
+
+@query(f"SELECT name, kind, file_path, start_line FROM {_SYMBOLS} WHERE file_path = (SELECT min(p_brand || '/' || p_partkey || '.rs') FROM part)")
+def list_symbols_of_file(spark, d):
+    path = _symbols(spark, d).agg(F.min("file_path")).first()[0]
+    return symbols.list_symbols(_symbols(spark, d), path).select("name", "kind", "file_path", "start_line")
+
+
+@query("SELECT count(*) AS symbols, count(DISTINCT p_name) AS names FROM part")
+def symbol_count(spark, d):
+    return symbols.count(_symbols(spark, d))
+
+
+@query("SELECT count(*) AS total_references, count(DISTINCT p_brand) AS files_affected FROM part")
+def files_affected(spark, d):
+    return symbols.files_affected(_t(spark, d, "part").select(F.col("p_brand").alias("file_path")))
 
 
 @query("SELECT DISTINCT p_type AS kind FROM part")
@@ -314,6 +365,15 @@ def find_references_text(spark, d):
     return symbols.references_text(chunks, "hethnd").select("file_path", "line_content")
 
 
+@query(f"""SELECT file_path, line_content FROM (SELECT file_path, split_part(content, chr(10), 1) AS line_content, row_number() OVER (ORDER BY file_path) AS n
+  FROM {_FILES} WHERE regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])the([^\\p{{L}}\\p{{N}}_]|$)')) WHERE n BETWEEN 2 AND 50""")
+def references_without_definition(spark, d):
+    """The definition's file goes after the limit, so fewer than the limit are left."""
+    chunks = _files(spark, d).withColumn("start_line", F.lit(1))
+    first = symbols.references_text(chunks, "the", limit=1).first()["file_path"]
+    return symbols.references_text(chunks, "the", first).select("file_path", "line_content")
+
+
 @query(f"""SELECT f.file_path, v.distance, split_part(f.content, chr(10), 1) AS line_content
   FROM (SELECT * FROM ({_NEAR}) ORDER BY distance, vec_id LIMIT 50) v JOIN {_FILES} f ON f.doc_id = v.vec_id""")
 def find_references_vector(spark, d):
@@ -484,6 +544,74 @@ def merged_stats(spark, d):
     return tables.merged_stats(_t(spark, d, "lineitem").select("l_linenumber", "l_suppkey"))
 
 
+_IGNORE = "# written by hand\n*.fr\nsrc1*/\n!*.en\n/src2/*7.??\nsrc3/**\n!src3/*9.de\n"
+
+
+@query(f"""SELECT file_path FROM {_FILES} WHERE NOT (file_path LIKE 'src1%/%' OR file_path LIKE 'src3/%' AND NOT regexp_matches(file_path, '9\\.de$|\\.en$|^$')
+  AND NOT regexp_matches(file_path, '^src3/[^/]*9\\.de$') OR regexp_matches(file_path, '^src2/[^/]*7\\.[^/][^/]$')
+  OR file_path LIKE '%.fr' OR regexp_matches(file_path, '^src3/.*\\.en$'))""")
+def gitignore_filter(spark, d):
+    return without_ignored(_files(spark, d).select("file_path"), gitignore_rules(_IGNORE))
+
+
+_CHANGED_DOCS = """(SELECT doc_id, source || '/' || doc_id || '.' || lang AS file_path, CASE lang WHEN 'de' THEN 'changed hethnd ' || text ELSE text END AS text, lang
+  FROM documents WHERE lang <> 'es')"""
+
+
+def _changed_store(spark, d) -> tuple[ChunkStore, KeywordIndex, dict]:
+    """A store of all documents but the French, with its keyword index; then the French come, the German change, the Spanish go."""
+    rows = _chunks(spark, d)
+    store = _stored(spark, rows.where("language <> 'fr'"))
+    keywords = KeywordIndex(spark, f"{store.paths.root}/keywords")
+    keywords.refresh(store)
+    changed = rows.where("language in ('fr', 'de')").withColumn(
+        "content", F.when(F.col("language") == "de", F.concat(F.lit("changed hethnd "), F.col("content"))).otherwise(F.col("content"))
+    )
+    counts = store.merge(changed, rows.where("language = 'es'"))
+    keywords.refresh(store)
+    return store, keywords, counts
+
+
+@query(f"SELECT file_path, text AS content FROM {_CHANGED_DOCS}")
+def store_changes(spark, d):
+    store, _, _ = _changed_store(spark, d)
+    return store.read(vectors=False).select("file_path", "content")
+
+
+@query("""SELECT count(*) FILTER (lang IN ('fr', 'de')) AS created, count(*) FILTER (lang IN ('de', 'es')) AS removed, count(*) FILTER (lang <> 'es') AS stored FROM documents""")
+def store_counts(spark, d):
+    store, _, counts = _changed_store(spark, d)
+    return spark.createDataFrame([(counts["created"], counts["removed"], store.count())], "created long, removed long, stored long")
+
+
+@query(f"""WITH asked AS (SELECT 0 AS query_id, unnest(['hethnd', 'changed', 'the']) AS term), {_BM25.replace('FROM documents', f'FROM {_CHANGED_DOCS}')}
+  SELECT doc_id, score, rank FROM ranked WHERE rank <= 20""")
+def watch_then_bm25(spark, d):
+    """Keyword search over an index that was refreshed after changes."""
+    _, keywords, _ = _changed_store(spark, d)
+    posted, lengths = (t.withColumn("doc_id", F.col("id").cast("long")) for t in keywords.tables())
+    return bm25.bm25_search_index(posted, lengths, _asked(spark, "the changed hethnd"), 20, "doc_id").select("doc_id", "score", "rank")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT source) AS sources FROM documents WHERE lang = 'en'")
+def store_migrated(spark, d):
+    """A table that was copied elsewhere, with what was deleted before; the first one is cleared."""
+    store = _stored(spark, _chunks(spark, d))
+    store.delete(_files(spark, d).where("language <> 'en'").select("file_path"))
+    moved = store.migrate(f"{store.paths.root}-moved", keep=True)
+    store.clear()
+    left = store.count()
+    return moved.read(vectors=False).agg((F.count(F.lit(1)) + left).alias("n"), F.countDistinct(F.substring_index("file_path", "/", 1)).alias("sources"))
+
+
+@query(f"""SELECT '# 10 results for: x' || chr(10) || chr(10) || string_agg('## ' || n || '. ' || file_path || ':1-1 (' || printf('%.1f', 100.0 / n) || '%)' || chr(10) || '```' || chr(10) ||
+  content || chr(10) || '```', chr(10) || chr(10) ORDER BY n) AS shown FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM {_FILES}) WHERE n <= 10""")
+def render_results(spark, d):
+    first = fusion.ranked(_files(spark, d).orderBy("doc_id").limit(10), ["doc_id"])
+    hits = first.select("file_path", "content", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), (1 / F.col("rank")).alias("score"), "rank").orderBy("rank")
+    return spark.createDataFrame([(render.search_results("x", hits),)], "shown string")
+
+
 _BUCKETS = "[0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 'inf'::DOUBLE]"
 
 
@@ -539,9 +667,23 @@ def change_rate(spark, d):
     return found.select("second", "n", "recent", F.round("rate", 6).alias("rate"))
 
 
-@query(_RATES.format(w=600) + """ SELECT second, n, CASE WHEN n >= 3 THEN 'threshold' ELSE 'rate' END AS reason FROM r WHERE n >= 3 OR recent / 600 >= 0.012""")
+@query(_RATES.format(w=600).replace("sum(n)", "sum(CASE WHEN n >= 2 THEN 0 ELSE n END)") + """ SELECT second, n, CASE WHEN n >= 2 THEN 'threshold' ELSE 'rate' END AS reason FROM r
+  WHERE n >= 2 OR recent / 600 >= 0.012""")
 def mass_change(spark, d):
-    return batch.mass_changes(_changes(spark, d), 3, 0.012, 600).select("second", "n", "reason")
+    return batch.mass_changes(_changes(spark, d), 2, 0.012, 600).select("second", "n", "reason")
+
+
+@query(_RATES.format(w=7200) + " SELECT second, n, recent, round(recent / 7200, 6) AS rate FROM r")
+def change_rate_long(spark, d):
+    found = batch.rates(_changes(spark, d), 7200)
+    return found.select("second", "n", "recent", F.round("rate", 6).alias("rate"))
+
+
+@query("""WITH e AS (SELECT unnest(range((epoch(ts)::BIGINT // 3600 - 1), epoch(ts)::BIGINT // 3600 + 1)) * 3600 AS started FROM (SELECT date_trunc('second', ts) AS ts FROM events))
+  SELECT started, started + 7200 AS ended, count(*) AS n, round(count(*) / 7200, 9) AS rate FROM e GROUP BY 1""")
+def windowed_rates(spark, d):
+    found = live.windowed_rates(_changes(spark, d), window="2 hours", slide="1 hour")
+    return found.select(F.unix_seconds("start").alias("started"), F.unix_seconds("end").alias("ended"), "n", F.round("rate", 9).alias("rate"))
 
 
 _GIT = "['.git/HEAD', 'a/.git/refs/heads/x', '.git/MERGE_MSG', 'b/.git/rebase-apply/1', '.git/FETCH_HEAD', '.git/ORIG_HEAD', '.git/refs/stash', '.git/index', 'src/a.rs', 'x.git/HEAD']"
@@ -564,9 +706,10 @@ def git_classify(spark, d):
     return batch.git_batches(changes, ["user_id"], "event_id")
 
 
-@query(f"SELECT event_id FROM {_CHANGES} WHERE NOT contains(path, '7')")
+@query(f"SELECT event_id FROM (SELECT event_id, path || ['.rs', '.py', '.md', ''][(event_id % 4 + 1)::INT] AS path FROM {_CHANGES}) WHERE NOT contains(path, '7') AND regexp_matches(path, '\\.(rs|py)$')")
 def watch_filter(spark, d):
-    return batch.watched(_changes(spark, d), (), ("7",)).select("event_id")
+    ends = F.element_at(F.array(*map(F.lit, (".rs", ".py", ".md", ""))), (F.col("event_id") % 4 + 1).cast("int"))
+    return batch.watched(_changes(spark, d).withColumn("path", F.concat("path", ends)), ("rs", "py"), ("7",)).select("event_id")
 
 
 # --- evaluation: vectors of the query's own label are what a search should find
@@ -583,37 +726,126 @@ def watch_filter(spark, d):
 def eval_measures(spark, d):
     rows = _embeddings(spark, d)
     results = _batch(spark, d, 10).select("query_id", "rank", F.col("key").alias("item"))
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    expected = asked.join(rows.select("label", F.col("vec_id").alias("item")), "label").select("query_id", "item")
-    return evaluation.evaluate(results, expected)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    totals = asked.join(rows.groupBy(F.col("label").alias("wanted")).agg(F.count(F.lit(1)).alias("n_expected")), "wanted").select("query_id", "n_expected")
+    judged = results.join(rows.select(F.col("vec_id").alias("item"), "label"), "item").join(asked, "query_id")
+    return evaluation.measures(judged.select("query_id", "rank", "item", F.when(F.col("label") == F.col("wanted"), 1).alias("hit")), totals)
+
+
+@query(f"""WITH hits AS (SELECT r.query_id, count(*) FILTER (e.label = q.label) / 10 AS p FROM ({_BATCH_RANKED}) r JOIN embeddings e ON e.vec_id = r.key
+    JOIN embeddings q ON q.vec_id = r.query_id WHERE r.rank <= 10 GROUP BY 1) SELECT query_id, round(p, 6) AS "precision" FROM hits WHERE p < 0.3""")
+def below_threshold(spark, d):
+    measures = eval_measures(spark, d)
+    least = measures.select("query_id", F.lit(0.3).alias("min_precision"), F.lit(0.0).alias("min_recall"))
+    return evaluation.below_threshold(measures, least).select("query_id", "precision")
+
+
+# --- chunking: the line chunker's loop as a recursive query
+
+
+def _lines_sql(files: str, target: int, shared: int, origin: str = "") -> str:
+    """CTEs up to ``pieces`` (file_path, language, first, last, content): pieces of ``target`` bytes that overlap by ``shared`` bytes."""
+    declares = "|".join(x.replace(" ", "[ ]") for x in DECLARATIONS)
+    blank = "regexp_matches(row, '^\\s*(\\}|\\};)?\\s*$')"
+    step = f"""SELECT *, CASE WHEN filled < n AND near > start AND near >= filled - filled // 5 THEN near ELSE least(filled, n - 1) END AS last FROM (
+      SELECT *, list_max(list_filter(good, lambda x: x <= filled)) AS near FROM (
+        SELECT s.file_path, s.start, n, ends, good, content_rows, start + len(list_filter(ends[start + 2:], lambda x: x < ends[start + 1] + {max(target, 1)})) AS filled
+        FROM {{}} s JOIN a USING (file_path)))"""
+    content = "array_to_string(content_rows[start + 1:last + 1], chr(10))"
+    first = f"len(list_filter(ends[1:last + 1], lambda x: x < ends[last + 2] - {shared} + 1)) - 1" if shared else "last"
+    return f"""files AS (SELECT * FROM {files}),
+  rows AS (SELECT file_path, unnest({_LINES.replace('text', 'content')}) AS row, unnest(range(len({_LINES.replace('text', 'content')}))) AS i FROM files),
+  good AS (SELECT *, {blank} OR coalesce(regexp_matches(lead(row) OVER (PARTITION BY file_path ORDER BY i), '^\\s*({declares})\\s*\\S'), false) AS good,
+    sum(strlen(row) + 1) OVER (PARTITION BY file_path ORDER BY i)::BIGINT AS e FROM rows),
+  a AS (SELECT file_path, count(*) AS n, list_prepend(0::BIGINT, list(e ORDER BY i)) AS ends, coalesce(list(i ORDER BY i) FILTER (good), []) AS good, list(row ORDER BY i) AS content_rows
+    FROM good GROUP BY 1),
+  walk AS (SELECT file_path, 0::BIGINT AS start FROM a UNION ALL
+    SELECT file_path, CASE WHEN following > start THEN following ELSE last + 1 END FROM (
+      SELECT *, last + 1 - least(last + 1 - greatest({first}, 0), 5) AS following FROM ({step.format('walk')}) WHERE last < n - 1)),
+  pieces AS (SELECT file_path, (start + 1)::INTEGER AS start_line, (last + 1)::INTEGER AS end_line, {content} AS content FROM ({step.format('walk')}) WHERE regexp_matches({content}, '\\S'))"""
+
+
+_ID = "sha256(file_path || chr(31) || start_line || chr(31) || end_line)"
+
+
+@query(f"""WITH RECURSIVE {_lines_sql(_FILES, 2048, 204)}
+  SELECT {_ID} AS id, file_path, start_line, end_line, language, length(p.content)::INTEGER AS n_chars FROM pieces p JOIN files USING (file_path)""")
+def line_chunks(spark, d):
+    files = _files(spark, d).select("file_path", "content", "mtime")
+    return chunk_files(files, "line").select("id", "file_path", "start_line", "end_line", "language", F.length("content").alias("n_chars"))
 
 
-# --- chunking and embedding have no SQL form
+@query(f"""WITH RECURSIVE {_lines_sql(_FILES, 200, 40)}
+  SELECT file_path, start_line, end_line, content FROM pieces""")
+def line_chunks_small(spark, d):
+    files = _files(spark, d).select("file_path", "content", "mtime")
+    return chunk_files(files, "line", 50, 10).select("file_path", "start_line", "end_line", "content")
 
 
-@query()
-def line_chunks(spark, d):
-    files = _files(spark, d).select("file_path", "content", "mtime")
-    return chunk_files(files, "line").select("id", "file_path", "start_line", "end_line", "language", F.length("content").alias("n_chars"))
+# the semicolon behind a C type belongs to the declaration around it
+_UNIT_CONTENT = """rtrim(ltrim(array_to_string(string_split(content, chr(10))[start_line:end_line], chr(10))),
+  CASE WHEN u.language IN ('c', 'cpp') AND kind IN ('struct', 'class', 'enum') THEN ';' ELSE '' END)"""
+
 
+@query(f"SELECT file_path, language, kind, name, start_line, end_line, signature, parent, visibility, doc FROM {units_sql()}")
+def code_units(spark, d):
+    return units_of(code_files(_t(spark, d, "part")))
 
-@query()
+
+@query(f"""SELECT {_ID} AS id, file_path, start_line, end_line, u.language, 'unit' AS origin, kind AS semantic_kind, name AS symbol_name, signature, parent, visibility,
+  length({_UNIT_CONTENT})::INTEGER AS n_chars FROM {units_sql()} u JOIN {files_sql()} f USING (file_path)""")
 def unit_chunks(spark, d):
-    files = _files(spark, d).select(F.concat("file_path", F.lit(".py")).alias("file_path"), "content", "mtime")
-    return chunk_files(files).select("id", "file_path", "start_line", "end_line", "language", "origin", F.length("content").alias("n_chars"))
+    """Every unit a chunk of its own."""
+    found = chunk_files(code_files(_t(spark, d, "part")), least=1)
+    return found.select("id", "file_path", "start_line", "end_line", "language", "origin", "semantic_kind", "symbol_name", "signature", "parent", "visibility", F.length("content").alias("n_chars"))
+
+
+@query(f"""SELECT file_path, min(start_line) AS start_line, max(end_line) AS end_line, arg_min(name, start_line * 1000 - end_line) AS symbol_name, 'merged' AS origin,
+  string_agg({_UNIT_CONTENT}, chr(10) || chr(10) ORDER BY start_line, end_line DESC) AS content FROM {units_sql()} u JOIN {files_sql()} f USING (file_path) GROUP BY 1""")
+def unit_chunks_merged(spark, d):
+    """All units of a file are too small for a chunk of their own."""
+    found = chunk_files(code_files(_t(spark, d, "part")), least=100_000)
+    return found.select("file_path", "start_line", "end_line", "symbol_name", "origin", "content")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_lines_sql(_FILES, MAX_UNIT_TOKENS * 4, MAX_UNIT_TOKENS // 10 * 4)},
+  c AS (SELECT file_path, count(*) AS line_chunks, 0 AS unit_chunks, 'line_based' AS method FROM pieces GROUP BY 1
+    UNION ALL SELECT file_path, 0, count(*), 'ast' FROM {units_sql()} GROUP BY 1)
+  SELECT file_path, unit_chunks::BIGINT AS unit_chunks, 0::BIGINT AS merged_chunks, line_chunks::BIGINT AS line_chunks, method FROM c""")
 def chunking_stats(spark, d):
-    files = _files(spark, d).select("file_path", "content", "mtime")
-    return tables.chunking_stats(chunk_files(files))
+    files = _files(spark, d).select("file_path", "content", "mtime").unionByName(code_files(_t(spark, d, "part")))
+    return tables.chunking_stats(chunk_files(files, least=1))
+
+
+# --- embedding by the hash provider
+
 
+def _vectors_sql(source: str, size: int = 64) -> str:
+    """CTEs up to ``vectors`` (doc_id, i, x) of the texts of ``source`` (doc_id, text)."""
+    return f"""seeds AS (SELECT doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 16))::UBIGINT::HUGEINT AS state FROM {source}),
+  states AS (SELECT doc_id, 0 AS i, state FROM seeds UNION ALL
+    SELECT doc_id, i + 1, (state * 1103515245 + 12345) % 18446744073709551616::HUGEINT FROM states WHERE i < {size}),
+  plain AS (SELECT doc_id, i - 1 AS i, ((state // 65536) % 1000)::DOUBLE / 1000 AS v FROM states WHERE i > 0),
+  norms AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM plain GROUP BY 1),
+  vectors AS (SELECT doc_id, i, (v / norm)::FLOAT::DOUBLE AS x FROM plain JOIN norms USING (doc_id))"""
 
-@query()
+
+@query(f"WITH RECURSIVE {_vectors_sql('documents')} SELECT doc_id, i::INTEGER AS i, x FROM vectors")
 def embed_texts(spark, d):
-    return embed(_docs(spark, d), HashProvider(64), "text").select("doc_id", "vector")
+    found = embed(_docs(spark, d), HashProvider(64), "text").select("doc_id", F.posexplode("vector").alias("i", "x"))
+    return found.select("doc_id", "i", F.col("x").cast("double").alias("x"))
+
+
+@query(f"""WITH RECURSIVE both_texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'open a connection'), {_vectors_sql('both_texts')},
+  near AS (SELECT v.doc_id, round(sum((v.x - q.x) * (v.x - q.x)), 6) AS distance FROM vectors v JOIN vectors q ON v.i = q.i AND q.doc_id = -1 WHERE v.doc_id >= 0 GROUP BY 1)
+  SELECT doc_id, distance, round(1 / (1 + distance), 6) AS score FROM near ORDER BY distance, doc_id LIMIT 10""")
+def semantic_topk(spark, d):
+    """A text query: embedded by the provider, then the nearest documents."""
+    provider = HashProvider(64)
+    rows = embed(_docs(spark, d), provider, "text").select("doc_id", "vector")
+    return vector.vector_topk(rows, provider.embed_query("open a connection"), 10, "doc_id").select("doc_id", "distance", "score")
 
 
-@query()
+@query("""SELECT s_suppkey, lower(regexp_replace(s_name, '[^\\p{L}\\p{N}_-]', '-', 'g')) || '-' || substr(md5('/work/' || s_name), 1, 8) AS project_id FROM supplier""")
 def project_ids(spark, d):
     return _t(spark, d, "supplier").select("s_suppkey", X.project_id(F.concat(F.lit("/work/"), F.col("s_name"))).alias("project_id"))

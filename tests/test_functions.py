@@ -91,6 +91,11 @@ def test_line_chunks_keep_the_budget(rows, tokens, overlap):
     assert all(i in covered for i, r in enumerate(lines, 1) if r.strip())
 
 
+def test_line_chunks_of_blank_stretches_end():
+    assert [(p.start_line, p.end_line) for p in line_chunks("a\n" + "\n" * 50 + "b", 1, 12)][-1][1] == 52
+    assert line_chunks("\n" * 40, 1, 5) == []
+
+
 def test_line_chunk_edges():
     assert line_chunks("", 50) == [] and line_chunks(" \n\t\n", 50) == []
     assert [(p.start_line, p.end_line) for p in line_chunks("a\nb\nc")] == [(1, 3)]
