@@ -1,9 +1,8 @@
 """Benchmark decontamination with DataFrame expressions only.
 
 Windows of a document as long as a benchmark item are fingerprinted by SimHash over word shingles.
-A window that reaches the similarity shares shingles with the item, so windows are placed where a
-shared shingle aligns document and item (once for each run of shared words), and, for parts in another order,
-where a shared shingle begins a window that holds enough of them (``_moved``). Multi-index Hamming
+Of all windows, those are fingerprinted that hold as many shared shingles as the similarity needs and that no
+neighbour is sure to equal (``_starts``). Multi-index Hamming
 blocks then find, for every window, all items of that length within ``radius`` bits: 8 blocks of 8
 bits, each probed within 2 flips, which misses nothing up to 8 * 3 - 1 = 23 bits. Candidates are verified
 by the exact weighted Jaccard similarity of their shingles (words compared as text, weights are counts).
@@ -72,14 +71,11 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return materialize(full.withColumn("fp", simhash(F.col("shingles"))), "benchmark-items")
 
 
-def _runs(words, size: int) -> Column:
-    """For each position of a shingle: its hash (of its words' hashes), and the hash of the word before (null at the start)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(words) - size),
-        lambda i: F.struct(
-            F.xxhash64(*(F.get(words, i + j) for j in range(size))).alias("h"), F.get(words, i - 1).alias("previous")
-        ),
-    )
+def _grams(words, size: int) -> Column:
+    """(h, k, pos) of every shingle of ``size`` words: the hash of its words' hashes, its size and its place."""
+    places = F.sequence(F.lit(0), F.size(words) - size)
+    found = F.transform(places, lambda i: F.struct(F.xxhash64(*(F.get(words, i + j) for j in range(size))).alias("h"), F.lit(size).alias("k"), i.alias("pos")))
+    return F.when(F.size(words) >= size, found).otherwise(F.filter(found, lambda x: F.lit(False)))
 
 
 def _hashed(words) -> Column:
@@ -91,38 +87,24 @@ def _once(value, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _anchors(items: DataFrame, size: int) -> DataFrame:
-    """Shingles of the items with their position and the word before."""
-    runs = _once(_hashed(F.col("words")), lambda w: _runs(w, size))
-    spread = items.where(F.col("k") == size).select("n", F.xxhash64("words").alias("item"), F.posexplode(runs).alias("at", "x"))
-    return spread.select("x.h", "n", "item", "at", F.col("x.previous").alias("before")).distinct()
-
-
-def _hits(keyed: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(key, length, pos, n, k, item, at, begins): shingles that a document and an item share; begins: no run goes on there."""
-    runs = F.transform(
-        F.array(_hashed(words_of(F.col("text")))),
-        lambda w: F.struct(F.size(w).alias("length"), F.when(F.size(w) >= size, _runs(w, size)).alias("runs")),
-    )
-    lists = keyed.select("key", F.explode(runs).alias("r")).select("key", "r.length", "r.runs")
-    spread = lists.select("key", "length", F.posexplode("runs").alias("pos", "x")).select("key", "length", "pos", "x.h", "x.previous")
-    begins = F.col("before").isNull() | F.col("previous").isNull() | (F.col("previous") != F.col("before"))
-    return spread.join(broadcast_if_small(_anchors(items, size)), "h").select(
-        "key", "length", "pos", "n", F.lit(size).alias("k"), "item", "at", begins.alias("begins")
-    )
+def _shared(keyed: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, length, n, k, item, pos): the shingles that a document and an item share. A text is cut into words and hashed once."""
 
+    def grams(words):
+        return _once(_hashed(words), lambda w: F.struct(F.size(w).alias("length"), F.concat(*(_grams(w, k) for k in sizes)).alias("all")))
 
-def _aligned(hits: DataFrame) -> DataFrame:
-    """(key, n, k, start): the start that a run of shared words implies."""
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n")), F.lit(0))
-    return hits.where("begins").select("key", "n", "k", start.alias("start")).distinct()
+    anchors = items.select("n", F.col("k").alias("size"), F.xxhash64("words").alias("item"), F.explode(grams(F.col("words"))["all"]).alias("x"))
+    anchors = anchors.where("x.k = size").select("x.h", "x.k", "n", "item").distinct()
+    lists = keyed.select("key", F.explode(F.array(grams(words_of(F.col("text"))))).alias("g"))
+    spread = lists.select("key", "g.length", F.explode("g.all").alias("x")).select("key", "length", "x.h", "x.k", "x.pos")
+    return spread.join(broadcast_if_small(materialize(anchors, "anchors")), ["h", "k"]).select("key", "length", "n", "k", "item", "pos")
 
 
-def _moved(hits: DataFrame, similarity: float) -> DataFrame:
-    """(key, n, k, start): windows that begin with a shared shingle and hold enough of them, wherever these stand in the item.
+def _starts(hits: DataFrame, similarity: float) -> DataFrame:
+    """(key, n, k, start, last): windows that begin with a shared shingle, or end the document, and hold enough shared ones for ``similarity``.
 
-    A window that is moved on to the next shared shingle loses none, so the best window of an item begins with one (or is the
-    document's last). Within a run, one that gains none at its end is no better than the window before.
+    No other window needs a look: moved on to the next shared shingle it loses none, so the best windows of an item
+    include one of these. Within a run of shared shingles, a window that gains none at its end is no better than the one before.
     """
     last = F.greatest(F.col("length") - F.col("n"), F.lit(0))
     grams = F.least("length", "n") - F.col("k") + 1
@@ -138,17 +120,15 @@ def _moved(hits: DataFrame, similarity: float) -> DataFrame:
 
     at_end = F.when(F.get("at", F.size("at") - F.col("least")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
     starts = F.concat(F.filter("at", begins), at_end)
-    return full.select("key", "n", "k", F.explode(starts).alias("start")).distinct()
+    return full.select("key", "n", "k", F.explode(starts).alias("start"), (F.col("start") == F.col("last")).alias("last")).distinct()
 
 
 def _windows(plain: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
-    """(doc_id, n, k, start, aligned, window). Only keys and positions are exploded; words are cut out where a window begins."""
+    """(doc_id, n, k, start, last, window). Only keys and positions are exploded; words are cut out where a window begins."""
     keyed = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    hits = materialize(reduce(DataFrame.unionByName, (_hits(keyed, items, k) for k in sizes)), "hits")
-    both = _aligned(hits).withColumn("aligned", F.lit(True)).unionByName(_moved(hits, similarity).withColumn("aligned", F.lit(False)))
-    starts = materialize(both.groupBy("key", "n", "k", "start").agg(F.max("aligned").alias("aligned")), "starts")
+    starts = materialize(_starts(_shared(keyed, items, sizes), similarity), "starts")
     window = F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("n"))
-    return keyed.join(broadcast_if_small(starts), "key").select("doc_id", "n", "k", "start", "aligned", window.alias("window"))
+    return keyed.join(broadcast_if_small(starts), "key").select("doc_id", "n", "k", "start", "last", window.alias("window"))
 
 
 def _probes(items: DataFrame) -> DataFrame:
@@ -180,8 +160,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, similarity, start_word): every document and item with a window at ``similarity`` or above.
 
-    similarity is the best of the pair's windows, rounded to 6 places, start_word the first word of the
-    first such window, of those where a run of shared words aligns if there are any. Defined cases: texts or items that are null, empty or without letters and digits match nothing; a
+    similarity is the best of all the pair's windows, one word apart, rounded to 6 places; start_word the first word of the
+    first such window that begins with a shared shingle or ends the document (there always is one). Defined cases: texts or items that are null, empty or without letters and digits match nothing; a
     document shorter than an item is one window; an item shorter than a shingle is one shingle of all its words; rows
     that repeat an id are one document; a null doc_id is an id like others; an empty table gives no rows.
     """
@@ -204,11 +184,12 @@ def contaminated(
     )
     close = met.where(~earlier & (F.bit_count(differing) <= RADIUS)).drop("n", "k", "block", "value", "x")
     texts = items.select("item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
+    begins = F.col("last") | F.array_contains("item_shingles", F.get("shingles", F.lit(0)))
     verified = close.join(broadcast_if_small(texts, BROADCAST_ROWS // 50), ["item_id", "item_fp"]).select(
-        "doc_id", "item_id", "start", "aligned", weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("s")
+        "doc_id", "item_id", "start", begins.alias("begins"), weighted_jaccard(F.col("shingles"), F.col("item_shingles")).alias("s")
     )
     best = verified.where(F.col("s") >= similarity).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("s", "aligned", (-F.col("start")).alias("back"))).alias("best")
+        F.max(F.struct("s", "begins", (-F.col("start")).alias("back"))).alias("best")
     )
     return best.select(
         "doc_id", "item_id", F.round("best.s", 6).alias("similarity"), (-F.col("best.back")).cast("int").alias("start_word")
@@ -227,18 +208,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
 
 _WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+#: Every window of every document, one word apart; a window without a shared shingle has similarity 0 and makes no row.
 ORACLE_SQL = f"""
-WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
-items AS (SELECT item_id, words, len(words) AS n, least(len(words), {SHINGLE}) AS k FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0),
-ranged AS (SELECT doc_id, words, len(words) AS m, k, unnest(range(1, len(words) - k + 2)) AS pos FROM docs, (SELECT DISTINCT k FROM items) WHERE len(words) >= k),
-grams AS (SELECT doc_id, m, k, pos, array_to_string(words[pos:pos + k - 1], ' ') AS gram FROM ranged),
-item_ranged AS (SELECT item_id, words, n, k, unnest(range(1, n - k + 2)) AS spot FROM items),
-item_grams AS (SELECT item_id, n, k, spot, array_to_string(words[spot:spot + k - 1], ' ') AS gram FROM item_ranged),
-starts AS (SELECT DISTINCT doc_id, item_id, m, n, k, greatest(least(pos - spot, m - n), 0) AS start FROM grams JOIN item_grams USING (k, gram)),
-held AS (SELECT doc_id, item_id, start, gram, count(*) AS c FROM starts JOIN grams USING (doc_id, k) WHERE pos - 1 BETWEEN start AND start + least(starts.m, n) - k GROUP BY ALL),
-wanted AS (SELECT item_id, gram, count(*) AS c FROM item_grams GROUP BY ALL),
-common AS (SELECT doc_id, item_id, start, sum(least(held.c, wanted.c)) AS c FROM held JOIN wanted USING (item_id, gram) GROUP BY ALL),
-scored AS (SELECT doc_id, item_id, start, c / (least(m, n) - k + 1 + n - k + 1 - c) AS s FROM common JOIN starts USING (doc_id, item_id, start)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) AS r FROM scored WHERE s >= {SIMILARITY})
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS_SQL} AS words FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, words, len(words) AS n, least(len(words), {SHINGLE}) AS k FROM (SELECT DISTINCT item_id, {_WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0),
+ranged AS (SELECT d, words, len(words) AS m, k, unnest(range(0, len(words) - k + 1)) AS pos FROM docs, (SELECT DISTINCT k FROM items) WHERE len(words) >= k),
+grams AS (SELECT d, m, k, pos, array_to_string(words[pos + 1:pos + k], ' ') AS gram FROM ranged),
+item_ranged AS (SELECT i, words, n, k, unnest(range(0, n - k + 1)) AS pos FROM items),
+wanted AS (SELECT i, n, k, array_to_string(words[pos + 1:pos + k], ' ') AS gram, count(*) AS c FROM item_ranged GROUP BY ALL),
+placed AS (
+  SELECT d, i, m, n, k, gram, c, pos, unnest(range(greatest(pos - (least(m, n) - k), 0), least(pos, greatest(m - n, 0)) + 1)) AS start
+  FROM grams JOIN wanted USING (k, gram)),
+held AS (SELECT d, i, m, n, k, start, least(count(*), c) AS c, bool_or(pos = start) AS begins FROM placed GROUP BY d, i, m, n, k, start, gram, placed.c),
+scored AS (
+  SELECT d, i, start, sum(c) / (least(m, n) - k + 1 + n - k + 1 - sum(c)) AS s, bool_or(begins) OR start = greatest(m - n, 0) AS begins
+  FROM held GROUP BY d, i, m, n, k, start),
+best AS (
+  SELECT doc_id, item_id, s, start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, begins DESC, start) AS r
+  FROM scored JOIN docs USING (d) JOIN items USING (i) WHERE s >= {SIMILARITY})
 SELECT doc_id, item_id, round(s, 6) AS similarity, start::INTEGER AS start_word FROM best WHERE r = 1
 """

@@ -24,7 +24,7 @@ def grams(w, k):
 
 
 def brute(docs, items, least=0.8):
-    """Best similarity over all windows, one word apart."""
+    """Best similarity over all windows, one word apart, and the first best window that begins with a shared shingle or is the last."""
     out = {}
     for d, text in docs:
         w = words(text)
@@ -36,12 +36,13 @@ def brute(docs, items, least=0.8):
             if len(w) < k:
                 continue
             b = Counter(grams(q, k))
-            best = 0
-            for at in range(max(len(w) - len(q), 0) + 1):
-                a = Counter(grams(w[at : at + len(q)], k))
-                best = max(best, sum((a & b).values()) / sum((a | b).values()))
-            if best >= least:
-                out[d, i] = max(round(best, 6), out.get((d, i), 0))
+            best, last = (0, False, 0), max(len(w) - len(q), 0)
+            for at in range(last + 1):
+                window = grams(w[at : at + len(q)], k)
+                a = Counter(window)
+                best = max(best, (sum((a & b).values()) / sum((a | b).values()), window[0] in b or at == last, -at))
+            if best[0] >= least:
+                out[d, i] = max((round(best[0], 6), -best[2]), out.get((d, i), (0, 0)))
     return out
 
 
@@ -71,7 +72,7 @@ def test_against_brute_force_over_all_windows(docs, items):
     bench = [(i, " ".join(p) + ".") for i, p in bench]
     found = decontam.contaminated(docs(*rows), items(*bench)).collect()
     want = brute(rows, bench)
-    assert {(r.doc_id, r.item_id): r.similarity for r in found} == want
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found} == want
     assert len(found) == len(want) > 30
 
 
@@ -92,7 +93,7 @@ def test_moved_parts_against_brute_force(docs, items):
     bench = [(i, " ".join(p)) for i, p in bench]
     found = decontam.contaminated(docs(*rows), items(*bench)).collect()
     want = brute(rows, bench)
-    assert {(r.doc_id, r.item_id): r.similarity for r in found} == want and (0, 0) in want and (1, 1) in want
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in found} == want and (0, 0) in want and (1, 1) in want
     assert len(found) == len(want) > 30
 
 
