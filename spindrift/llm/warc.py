@@ -1,25 +1,29 @@
 """WARC archives with revisit records, and their external index merge.
 
 Every task writes its captures, sorted by URL key and time, as one gzip member each into an archive, and a
-sorted run of index lines beside it. Runs are merged by loser trees, ``FAN_IN`` at a time where there are more, and
-at last in ranges of keys that tasks merge side by side; each range's task reads the records back in the
-order of the merge, which is the order within every archive, and writes its part of the global index.
+sorted run of index lines beside it. Runs are merged by loser trees, ``FAN_IN`` at a time where there are more; keys
+drawn from the runs cut the lines into ranges, so that every pass after the first, and the last one, is dealt out by range. Where a range
+begins in a run is written down once, so a task's work does not depend on the number of ranges. The last pass writes the
+global index, one part for each range, and a manifest that names the parts in order; records are read back
+by the parts that the manifest names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, map_arrow, materialize, scratch
@@ -31,8 +35,7 @@ RANGE_LINES = 16_384
 #: Keys that the driver sees to choose the ranges.
 SAMPLED_KEYS = 100_000
 ARCHIVE_BYTES = 1 << 28
-MARK = 256
-FIRST_CAPTURE = 1_704_067_200
+FIRST_CAPTURE, FIRST_DATE = 1_704_067_200, 20240101000000
 _SPAN = 315_360_000
 _ROWS = 256
 
@@ -40,23 +43,45 @@ _ROWS = 256
 # --- records
 
 
-def record(page_id: int | None, url: str | None, when: str, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit has no payload but its length and digest."""
-    date = f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:]}Z"
-    name = base64.b32encode(digest).decode()
+def _date(when: str) -> str:
+    return f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:]}Z"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    pack = zlib.compressobj(3, zlib.DEFLATED, 31)
+    lines = ["WARC/1.1", *head, f"Content-Length: {len(block)}"]
+    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
+def _id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
+
+
+def warcinfo(name: str) -> bytes:
+    """The first record of the archive ``name``."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {_id(name)}", f"WARC-Date: {_date(str(FIRST_DATE))}", f"WARC-Filename: {name}.warc.gz"]
+    return _member([*head, "Content-Type: application/warc-fields"], b"software: spindrift\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(row: dict, name: str) -> bytes:
+    """One WARC/1.1 record as a gzip member; a revisit has no payload but its length and digest. ``name`` is unique, and so is the record's id."""
+    payload, revisit = (row["html"] or "").encode("utf-8", "surrogatepass"), row["revisit"]
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:capture:{page_id}>",
-        f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{name}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_id(name)}", f"WARC-Date: {_date(row['captured'])}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(row['digest']).decode()}", f"X-Payload-Length: {len(payload)}",
     ]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=_URL_SAFE)}")
+    if row["page_id"] is not None:
+        head.append(f"X-Page-ID: {row['page_id']}")
+    if row["url"] is not None:
+        head.append(f"WARC-Target-URI: {quote(row['url'], safe=_URL_SAFE)}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:capture:{refers_to}>"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if row["refers_to"] is not None:
+            head += [f"X-Refers-To-Page-ID: {row['refers_to']}", f"WARC-Refers-To-Date: {_date(row['refers_date'])}"]
+        if row["refers_url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {quote(row['refers_url'], safe=_URL_SAFE)}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    block = http if revisit else http + payload
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+    return _member([*head, "Content-Type: application/http; msgtype=response"], http if revisit else http + payload)
 
 
 _URL_SAFE = "!#$%&'()*+,/:;=?@[]~-._"
@@ -74,9 +99,8 @@ def read_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def _capture(value: str) -> int | None:
-    name = value.removeprefix("<urn:capture:").removesuffix(">")
-    return None if name == "None" else int(name)
+def _number(value: str | None) -> int | None:
+    return None if value is None else int(value)
 
 
 def decoded(member: bytes) -> tuple:
@@ -89,8 +113,7 @@ def decoded(member: bytes) -> tuple:
         if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != size:
             raise ValueError(f"damaged payload of {headers['warc-record-id']}")
         size = len(payload)
-    refers_to = _capture(headers["warc-refers-to"]) if kind == "revisit" else None
-    return _capture(headers["warc-record-id"]), size, digest, kind, refers_to
+    return _number(headers.get("x-page-id")), size, digest, kind, _number(headers.get("x-refers-to-page-id"))
 
 
 # --- index lines: key, time, page id (empty: none), offset, length, archive
@@ -152,52 +175,58 @@ class _Store:
         self.fs.create_dir(self.root, recursive=True)
         return self.fs.open_output_stream(self.path(name), compression=None)
 
-    def lines(self, name: str, start: int = 0) -> Iterator[bytes]:
+    def lines(self, name: str, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
+        """Lines of a file between two offsets."""
         with self.fs.open_input_file(self.path(name)) as file:
             file.seek(start)
-            rest = b""
-            while chunk := file.read(1 << 16):
+            left, rest = (1 << 62) if stop is None else stop - start, b""
+            while left > 0 and (chunk := file.read(min(left, 1 << 16))):
+                left -= len(chunk)
                 *whole, rest = (rest + chunk).split(b"\n")
                 yield from whole
             if rest:
                 yield rest
 
+    def numbers(self, name: str, at: int, count: int) -> tuple[int, ...]:
+        with self.fs.open_input_file(self.path(name)) as file:
+            file.seek(8 * at)
+            return struct.unpack(f"<{count}q", file.read(8 * count))
+
 
-class _RunWriter:
-    """A sorted run, and beside it every MARK-th line with its position."""
+class _Offsets:
+    """Where the ranges from ``begin`` on start in a file of sorted lines, and where the last one ends."""
 
-    def __init__(self, store: _Store, name: str):
-        self.store, self.name = store, name
-        self.out, self.marks, self.at, self.n = store.writer(name), [], 0, 0
+    def __init__(self, bounds: list[tuple], begin: int, end: int):
+        self.bounds, self.part, self.end, self.found = bounds, begin, end, [0]
 
-    def add(self, line: bytes) -> None:
-        if self.n % MARK == 0:
-            self.marks.append(b"\t".join(line.split(b"\t", 3)[:3]) + b"\t%d" % self.at)
-        self.out.write(line + b"\n")
-        self.at += len(line) + 1
-        self.n += 1
+    def see(self, order: tuple, at: int) -> None:
+        """A line of ``order`` stands at ``at``."""
+        while self.part + 1 < self.end and order >= self.bounds[self.part]:
+            self.found.append(at)
+            self.part += 1
 
-    def close(self) -> tuple[str, int]:
-        self.out.close()
-        with self.store.writer(self.name + ".marks") as out:
-            out.write(b"\n".join(self.marks))
-        return self.name, self.n
+    def write(self, store: _Store, name: str, size: int) -> None:
+        self.found += [size] * (self.end - self.part)
+        with store.writer(name) as out:
+            out.write(struct.pack(f"<{len(self.found)}q", *self.found))
 
 
-def _slice(store: _Store, run: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
-    """(order, line) of a run from ``low`` on and before ``high``."""
-    start = 0
-    if low is not None:
-        for mark in store.lines(run + ".marks"):
-            if _order(mark) >= low:  # lines of that order may stand before the mark
-                break
-            start = int(mark.rpartition(b"\t")[2])
-    for line in store.lines(run, start):
-        order = _order(line)
-        if high is not None and order >= high:
-            return
-        if low is None or order >= low:
-            yield order, line
+class Run(NamedTuple):
+    """Sorted lines in one file for every ``step`` ranges; beside each, under ``offsets``, where its ranges begin (else it is read as a whole)."""
+
+    files: tuple[str, ...]
+    step: int
+    offsets: tuple[str, ...] = ()
+
+    def slice(self, store: _Store, begin: int, end: int) -> Iterator[tuple]:
+        """(order, line) of the ranges from ``begin`` to before ``end``."""
+        for file in range(begin // self.step, (end - 1) // self.step + 1):
+            marks: tuple = (0, None)
+            if self.offsets:
+                first, last = max(begin, file * self.step), min(end, (file + 1) * self.step)
+                marks = store.numbers(self.offsets[file], first - file * self.step, last - first + 1)
+            for line in store.lines(self.files[file], marks[0], marks[-1]):
+                yield _order(line), line
 
 
 # --- stages
@@ -221,53 +250,58 @@ def capture_time(page_id) -> Column:
 
 
 def elect(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to, revisit: equal payloads revisit the one with the largest page_id.
+    """page_id, url, html, digest, revisit, refers_to, refers_url, refers_date: equal payloads revisit the one with the largest page_id.
 
-    Payloads are compared by digest in thin rows, counted map-side first; html is not shuffled unless there are more
-    repeated payloads than may be broadcast.
+    Payloads are compared by SHA-1, length and a second hash in thin rows, counted map-side first; html is not shuffled unless there are
+    more repeated payloads than may be broadcast.
     """
-    digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest"))
-    repeated = rows.groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(broadcast_if_small(materialize(repeated, "repeated-payloads")), "digest", "left")
-    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("best"))).drop("best")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    key = F.struct(F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("size"), F.xxhash64(payload).alias("other"))
+    rows = pages.select("page_id", "url", "html", key.alias("key"))
+    most = F.max(F.struct("page_id", "url"))
+    repeated = rows.groupBy("key").agg(most.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = rows.join(broadcast_if_small(materialize(repeated, "repeated-payloads")), "key", "left")
+    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best.page_id"))
+    return joined.select(
+        "page_id", "url", "html", "key.digest", revisit.alias("revisit"), F.when(revisit, F.col("best.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("best.url")).alias("refers_url"), F.when(revisit, capture_time(F.col("best.page_id"))).alias("refers_date"),
+    )
 
 
 def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(run, lines, keys): one row for each run, a sorted run for each archive, which is named after it.
+    """(run, lines, keys): one row for each run, a file of sorted lines for each archive, which is named after it.
 
     A failed task's files are never named in the result, so a retry leaves no trace in the index.
     """
 
     def write(batches):
         store, out = _Store(root), []
-        archive = run = None
-        size = 0
+        archive = run = name = None
+        size = lines = 0
         keys: list[bytes] = []
 
         def close():
-            if run is not None:
+            if name is not None:
                 archive.close()
-                name, lines = run.close()
+                run.close()
                 out.append((name, lines, keys[:: max(1, len(keys) // 64)]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 for row in batch.slice(at, _ROWS).to_pylist():
-                    if run is None or size >= archive_bytes:
+                    if name is None or size >= archive_bytes:
                         close()
                         name = uuid.uuid4().hex
-                        archive, run, size, keys = store.writer(f"{name}.warc.gz"), _RunWriter(store, name), 0, []
-                    member = record(
-                        row["page_id"], row["url"], row["captured"], (row["html"] or "").encode("utf-8", "surrogatepass"),
-                        row["digest"], row["refers_to"], row["revisit"],
-                    )
+                        archive, run, lines, keys = store.writer(f"{name}.warc.gz"), store.writer(name), 0, []
+                        archive.write(first := warcinfo(name))
+                        size = len(first)
+                    member = record(row, f"{name}:{lines}")
                     page = b"" if row["page_id"] is None else b"%d" % row["page_id"]
                     order = b"\t".join([row["url_key"].encode("utf-8", "surrogatepass"), row["captured"].encode(), page])
-                    run.add(order + b"\t%d\t%d\t%s" % (size, len(member), run.name.encode()))
-                    if run.n % 64 == 1:
+                    run.write(order + b"\t%d\t%d\t%s\n" % (size, len(member), name.encode()))
+                    if lines % 64 == 0:
                         keys.append(order)
+                    lines += 1
                     archive.write(member)
                     size += len(member)
         close()
@@ -277,34 +311,15 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
         )
 
     captures = pages.select(
-        "page_id", "url", "html", "digest", "refers_to", "revisit",
+        "page_id", "url", "html", "digest", "revisit", "refers_to", "refers_url", "refers_date",
         url_key(F.col("url")).alias("url_key"), capture_time(F.col("page_id")).alias("captured"),
     )
     ordered = captures.sortWithinPartitions("url_key", "captured", F.asc_nulls_first("page_id"))
     return materialize(map_arrow(ordered, write, "run string, lines long, keys array<binary>"), "runs")
 
 
-def _merge_groups(spark, root: str, runs: list[str]) -> list[str]:
-    """One pass: every FAN_IN runs become one."""
-    groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
-    shared = spark.sparkContext.broadcast(groups)
-
-    def merge(batches):
-        store = _Store(root)
-        for batch in batches:
-            names = []
-            for g in batch.column(0).to_pylist():
-                out = _RunWriter(store, uuid.uuid4().hex)
-                for _, line in LoserTree([_slice(store, r, None, None) for r in shared.value[g]]):
-                    out.add(line)
-                names.append(out.close()[0])
-            yield pa.record_batch([pa.array(names, pa.string())], names=["run"])
-
-    return [r["run"] for r in materialize(map_arrow(spark.range(0, len(groups), 1, len(groups)), merge, "run string"), "merged").collect()]
-
-
-def _ranges(written: DataFrame, runs: int, lines: int) -> list[tuple]:
-    """Keys that divide the lines into ranges of about RANGE_LINES."""
+def _bounds(written: DataFrame, runs: int, lines: int) -> list[tuple]:
+    """Keys that divide the lines into ranges of about RANGE_LINES; at most SAMPLED_KEYS of them."""
     parts = ceil(lines / RANGE_LINES)
     if parts < 2:
         return []
@@ -315,44 +330,147 @@ def _ranges(written: DataFrame, runs: int, lines: int) -> list[tuple]:
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)})
 
 
-SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string"
+def _merged(spark: SparkSession, root: str, groups: list[list[Run]], bounds: list[tuple], step: int) -> list[Run]:
+    """One pass: the runs of each group become one, dealt out by ``step`` ranges; a task writes one file and its offsets."""
+    parts = len(bounds) + 1
+    files = ceil(parts / step)
+    shared = spark.sparkContext.broadcast((groups, bounds))
 
+    def merge(batches):
+        store = _Store(root)
+        sources, edges = shared.value
+        for batch in batches:
+            done = []
+            for task in batch.column(0).to_pylist():
+                group, file = divmod(task, files)
+                begin, end = file * step, min(parts, (file + 1) * step)
+                offsets, at, name = _Offsets(edges, begin, end), 0, uuid.uuid4().hex
+                with store.writer(name) as out:
+                    for order, line in LoserTree([r.slice(store, begin, end) for r in sources[group]]):
+                        offsets.see(order, at)
+                        out.write(line + b"\n")
+                        at += len(line) + 1
+                offsets.write(store, name + ".offsets", at)
+                done.append((task, name))
+            yield _named(done)
 
-def merge_and_read(written: DataFrame, root: str) -> DataFrame:
-    """All captures in global order of (url_key, captured, page_id) within and across partitions, read from the archives."""
+    names = _names(spark, len(groups) * files, merge)
+    shared.destroy()
+    cut = (tuple(names[i : i + files]) for i in range(0, len(names), files))
+    return [Run(some, step, tuple(n + ".offsets" for n in some)) for some in cut]
+
+
+def _named(done: list[tuple[int, str]]):
+    return pa.record_batch([pa.array([t for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.string())], names=["task", "name"])
+
+
+def _names(spark: SparkSession, tasks: int, function) -> list[str]:
+    """The names that so many tasks give to what they write, in order; files of lost attempts are never named."""
+    done = materialize(map_arrow(spark.range(0, tasks, 1, max(tasks, 1)), function, "task long, name string"), "named")
+    return [r["name"] for r in done.orderBy("task").collect()]
+
+
+def _indexed(spark: SparkSession, root: str, runs: list[Run], bounds: list[tuple]) -> list[Run]:
+    """Runs of one file with the offsets of their ranges; each is read once."""
+    shared = spark.sparkContext.broadcast((runs, bounds))
+
+    def index(batches):
+        store = _Store(root)
+        files, edges = shared.value
+        for batch in batches:
+            done = []
+            for task in batch.column(0).to_pylist():
+                offsets, at, name = _Offsets(edges, 0, len(edges) + 1), 0, uuid.uuid4().hex + ".offsets"
+                for line in store.lines(files[task].files[0]):
+                    offsets.see(_order(line), at)
+                    at += len(line) + 1
+                offsets.write(store, name, at)
+                done.append((task, name))
+            yield _named(done)
+
+    names = _names(spark, len(runs), index)
+    shared.destroy()
+    return [Run(run.files, run.step, (name,)) for run, name in zip(runs, names, strict=True)]
+
+
+MANIFEST = "part int, file string, lines long"
+
+
+def merge_index(written: DataFrame, root: str) -> DataFrame:
+    """The manifest: (part, file, lines) of the global index, whose parts in order hold all lines in order of (url_key, captured, page_id).
+
+    It is also written as the table ``manifest`` under ``root``. Index files that it does not name are left from lost tasks.
+    """
     spark = written.sparkSession
     head = written.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
-    runs = sorted(r["run"] for r in written.select("run").collect())  # a name for each task of the writing stage
-    bounds = _ranges(written, max(head["runs"], 1), head["lines"])
+    names = sorted(r["run"] for r in written.select("run").collect())  # a name for each archive
+    bounds = _bounds(written, max(head["runs"], 1), head["lines"])
+    parts, first = len(bounds) + 1, ceil(len(names) / FAN_IN)
+    runs = [Run((name,), parts) for name in names]
+    if len(runs) <= FAN_IN and bounds:
+        runs = _indexed(spark, root, runs, bounds)
     while len(runs) > FAN_IN:
-        runs = _merge_groups(spark, root, runs)
-    shared = spark.sparkContext.broadcast((runs, [None, *bounds, None]))
+        groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
+        # as many tasks in every pass: the fewer groups, the more files of fewer ranges each
+        runs = _merged(spark, root, groups, bounds, max(1, parts * len(groups) // first))
+    shared = spark.sparkContext.broadcast(runs)
+
+    def write(batches):
+        store = _Store(root)
+        for batch in batches:
+            done = []
+            for part in batch.column(0).to_pylist():
+                name, lines = f"index-{part:06d}-{uuid.uuid4().hex[:8]}.cdx", 0
+                with store.writer(name) as out:
+                    for _, line in LoserTree([r.slice(store, part, part + 1) for r in shared.value]):
+                        out.write(line + b"\n")
+                        lines += 1
+                done.append((part, name, lines))
+            columns = zip(*done, strict=True) if done else [[], [], []]
+            kinds = (("part", pa.int32()), ("file", pa.string()), ("lines", pa.int64()))
+            yield pa.record_batch([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    path = f"{root}/manifest"
+    map_arrow(spark.range(0, parts, 1, parts), write, MANIFEST).write.mode("overwrite").parquet(path)
+    return spark.read.schema(MANIFEST).parquet(path)
+
+
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string"
+
+
+def read_index(manifest: DataFrame, root: str) -> DataFrame:
+    """Every record that the manifest's index parts name, in their order within and across partitions; nothing is written."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
+    named = [r["file"] for r in manifest.orderBy("part").select("file").collect()]  # at most SAMPLED_KEYS + 1
+    spark = manifest.sparkSession
+    shared = spark.sparkContext.broadcast(named)
+
     def read(batches):
         store = _Store(root)
-        names_of_runs, edges = shared.value
+        files, rows = OrderedDict(), []
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                tree = LoserTree([_slice(store, r, edges[part], edges[part + 1]) for r in names_of_runs])
-                files, rows = OrderedDict(), []
-                with store.writer(f"index-{part:06d}-{uuid.uuid4().hex[:8]}.cdx") as index:
-                    for _, line in tree:
-                        index.write(line + b"\n")
-                        key, when, _, offset, length, name = line.split(b"\t")
-                        file = _opened(store, files, name.decode())
-                        file.seek(int(offset))
-                        found = decoded(file.read(int(length)))
-                        rows.append((*found, key.decode("utf-8", "surrogatepass"), when.decode()))
-                        if len(rows) == 4096:
-                            yield _batch(rows, names, types)
-                            rows = []
-                yield _batch(rows, names, types)
-                for file in files.values():
-                    file.close()
-
-    return map_arrow(spark.range(0, len(bounds) + 1, 1, len(bounds) + 1), read, SCHEMA)
+                for line in store.lines(shared.value[part]):
+                    key, when, _, offset, length, name = line.split(b"\t")
+                    file = _opened(store, files, name.decode())
+                    file.seek(int(offset))
+                    found = decoded(file.read(int(length)))
+                    rows.append((*found, key.decode("utf-8", "surrogatepass"), when.decode()))
+                    if len(rows) == 4096:
+                        yield _batch(rows, names, types)
+                        rows = []
+        yield _batch(rows, names, types)
+        for file in files.values():
+            file.close()
+
+    return map_arrow(spark.range(0, len(named), 1, max(len(named), 1)), read, SCHEMA)
+
+
+def merge_and_read(written: DataFrame, root: str) -> DataFrame:
+    """All captures in global order of (url_key, captured, page_id) within and across partitions, read from the archives."""
+    return read_index(merge_index(written, root), root)
 
 
 def _opened(store: _Store, files: OrderedDict, name: str):
