@@ -2,8 +2,8 @@
 
 Bytes are embedded and filtered by learned kernels at every second byte. The filters' rectified responses are max-pooled
 over overlapping chunks that cover the whole document; the mean and the maximum over the chunks are combined by
-one logistic unit into one probability. Training (Adam, exact gradients) takes a bounded sample of labelled rows; scoring reads every
-byte.
+one logistic unit into one probability. Training (Adam, exact gradients) takes a bounded sample of labelled rows; training and scoring
+read every byte of a text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow
+from .common import held_out, map_arrow, materialize
 
-#: Bounds of the training sample: labelled rows (the first by hash of the id), and chunks of each, evenly spread.
+#: Bounds of the training sample: labelled rows (the first by hash of the id), and bytes of all their whole texts (a row beyond them is passed over).
 TRAIN_DOCS = 4096
-TRAIN_CHUNKS = 32
+TRAIN_BYTES = 16 << 20
 THRESHOLD = 0.3
 KERNEL, STRIDE, EMBED, FILTERS = 12, 2, 4, 48
 #: Positions of the kernel in a hop and in a chunk; a chunk overlaps the next by half.
@@ -27,6 +27,8 @@ HOP = 64
 CHUNK = 2 * HOP
 CHUNK_BYTES = CHUNK * STRIDE + KERNEL - STRIDE
 _PIECE = 1 << 14
+#: Chunks that training looks at together.
+_STEP = 512
 
 
 @dataclass
@@ -66,10 +68,12 @@ class Network:
     def gradients(self, chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Weighted mean log loss and its gradients; ``chunks`` (n, CHUNK_BYTES) belong to documents ``doc`` (0.., sorted)."""
         w, n, docs = self.weights, len(chunks), len(labels)
-        rows = _windows_of(w["embed"][chunks])
-        response = (rows @ w["kernel"]).reshape(n, CHUNK, FILTERS)
-        place = response.argmax(axis=1)
-        raw = np.take_along_axis(response, place[:, None], axis=1)[:, 0] + w["bias"]
+        place, raw = np.empty((n, FILTERS), np.int16), np.empty((n, FILTERS), w["kernel"].dtype)
+        for at in range(0, n, _STEP):
+            some = chunks[at : at + _STEP]
+            response = (_windows_of(w["embed"][some]) @ w["kernel"]).reshape(len(some), CHUNK, FILTERS)
+            place[at : at + _STEP] = response.argmax(axis=1)
+            raw[at : at + _STEP] = response.max(axis=1) + w["bias"]
         pooled = np.maximum(raw, 0)
         starts = np.searchsorted(doc, np.arange(docs))
         size = np.bincount(doc, minlength=docs).astype(np.float32)[:, None]
@@ -83,14 +87,18 @@ class Network:
         to_mean = (error[:, None] * w["out"][:FILTERS] / size)[doc]
         to_top = (error[:, None] * w["out"][FILTERS:])[doc] * is_top / ties
         g = ((to_mean + to_top) * (raw > 0)).astype(np.float32)
-        picked = rows.reshape(n, CHUNK, -1)[np.arange(n)[:, None], place]
-        at = place[:, :, None] * STRIDE + np.arange(KERNEL)
-        into = (g[:, :, None] * w["kernel"].T).reshape(n, FILTERS, KERNEL, EMBED)
-        byte = chunks[np.arange(n)[:, None, None], at].ravel()
-        embed = [np.bincount(byte, into[..., e].ravel(), 256) for e in range(EMBED)]
+        embed, kernel = np.zeros((256, EMBED)), np.zeros_like(w["kernel"])
+        for begin in range(0, n, _STEP):
+            part, size = g[begin : begin + _STEP], len(g[begin : begin + _STEP])
+            at = place[begin : begin + _STEP, :, None].astype(np.int64) * STRIDE + np.arange(KERNEL)
+            byte = chunks[np.arange(begin, begin + size)[:, None, None], at]
+            picked = w["embed"][byte].reshape(size, FILTERS, KERNEL * EMBED)
+            kernel += np.einsum("nf,nfk->kf", part, picked, optimize=True)
+            into = (part[:, :, None] * w["kernel"].T).reshape(size, FILTERS, KERNEL, EMBED)
+            embed += np.stack([np.bincount(byte.ravel(), into[..., e].ravel(), 256) for e in range(EMBED)], axis=1)
         return float(loss), {
-            "embed": np.stack(embed, axis=1).astype(np.float32),
-            "kernel": np.einsum("nf,nfk->kf", g, picked, optimize=True),
+            "embed": embed.astype(np.float32),
+            "kernel": kernel,
             "bias": g.sum(axis=0),
             "out": np.concatenate([error @ mean, error @ top]),
             "offset": error.sum(keepdims=True),
@@ -142,44 +150,37 @@ def _windows_of(embedded: np.ndarray) -> np.ndarray:
     return view.reshape(n * CHUNK, KERNEL * EMBED)
 
 
-def training_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
-    """At most ``most`` of the document's chunks, evenly spread, as (n, CHUNK_BYTES)."""
+def training_chunks(text: bytes) -> np.ndarray:
+    """All of the document's chunks, as (n, CHUNK_BYTES)."""
     hops = max(-(-len(text) // (HOP * STRIDE)), 1)
-    chosen = np.unique(np.linspace(0, hops - 1, min(hops, most)).round().astype(int))
-    out = np.zeros((len(chosen), CHUNK_BYTES), np.uint8)
-    for row, hop in zip(out, chosen.tolist(), strict=True):
-        part = text[hop * HOP * STRIDE : hop * HOP * STRIDE + CHUNK_BYTES]
-        row[: len(part)] = np.frombuffer(part, np.uint8)
-    return out
+    padded = np.zeros((hops + 1) * HOP * STRIDE + KERNEL - STRIDE, np.uint8)
+    padded[: len(text)] = np.frombuffer(text, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK_BYTES)[:: HOP * STRIDE]
 
 
 def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chunks: int = TRAIN_CHUNKS, epochs: int = 12) -> Network:
-    """A network fitted to at most ``most`` labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, epochs: int = 12) -> Network:
+    """A network fitted to at most ``most`` labelled rows that are not held out, of ``most_bytes`` together.
 
-    Ids are ranked by hash before any text is read; at most ``chunks`` chunks of each chosen text come to the driver.
-    Without both labels among them the network stays as it was drawn.
+    Ids are ranked by hash before any text is read; in that order, rows are taken whole as long as they fit. Of rows that
+    repeat an id the greatest text counts. Without both labels among them the network stays as it was drawn.
     """
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-    def cut(batches):
-        for batch in batches:
-            found = [training_chunks(_utf8(t), chunks).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], names=["doc_id", "quality", "chunks"])
-
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = map_arrow(
-        some.select("doc_id", F.col("quality").cast("int").alias("quality"), "text"), cut, "doc_id long, quality int, chunks binary"
-    )
-    network = Network()
-    found = sorted(rows.limit(2 * most).collect(), key=lambda r: (r["doc_id"], bytes(r["chunks"])))
-    marks = np.array([r["quality"] for r in found], np.int64)
+    some = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = materialize(some.groupBy("doc_id", "quality").agg(F.max("text").alias("text")), "labelled-texts")
+    taken, total = [], 0
+    for r in rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r["size"] <= most_bytes:
+            taken.append(r["doc_id"])
+            total += r["size"]
+    found = rows.where(F.col("doc_id").isin(taken)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    network, marks = Network(), np.array([r["quality"] for r in found], np.int64)
     if len(set(marks.tolist())) == 2:
-        network.fit([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK_BYTES) for r in found], marks, epochs)
+        network.fit([training_chunks(_utf8(r["text"])) for r in found], marks, epochs)
     return network
 
 
