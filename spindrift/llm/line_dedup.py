@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import materialize
 
 RATIO = 0.05
 MIN_PAGES = 5
-#: Most hosts with boilerplate whose line lists are broadcast; a host has at most (its mean lines a page) / RATIO of them.
-BROADCAST_HOSTS = 20_000
+#: Most boilerplate lines, over all hosts, whose keys are broadcast (32 characters each).
+BROADCAST_KEYS = 1_000_000
 
 
 def line_key(line):
-    """128-bit key of a line without its outer spaces."""
-    return F.unhex(F.md5(F.trim(line)))
+    """128-bit key of a line without its outer spaces, as text (array functions hash texts, but compare binaries one by one)."""
+    return F.md5(F.trim(line))
 
 
 def _lines(text):
@@ -49,19 +49,20 @@ def line_dedup(
     Defined cases: a null host is the host ""; a null text stays null and counts as one page without
     lines; blank lines are never dropped; lines equal but for outer spaces are one line; of a line
     repeated in a page all occurrences go; a page that is boilerplate only becomes empty but stays;
-    repeated rows are pages of their own; an empty table gives no rows.
+    repeated rows are pages of their own; a carriage return at a line's end is part of the line; an empty table gives no rows.
     """
     found = boilerplate(docs, F.col(host), F.col(text), ratio, min_pages)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    size = found.agg(F.sum(F.size("keys"))).first()[0] or 0
     joined = inner.withColumn("host", F.coalesce(F.col("row")[host], F.lit(""))).join(
-        broadcast_if_small(found, BROADCAST_HOSTS), "host", "left"
+        F.broadcast(found) if size <= BROADCAST_KEYS else found, "host", "left"
     )
+    # the page's own boilerplate by hashing, then its few keys are compared with its lines
     lines = _lines(F.col("row")[text])
-    kept = F.filter(lines, lambda x: ~F.array_contains("keys", line_key(x)) | (F.trim(x) == ""))
-    cleaned = joined.select(
-        "row", F.size(lines).alias("n"), F.when(F.col("keys").isNotNull(), kept).alias("kept")
-    )
+    held = joined.select("row", lines.alias("lines"), F.array_intersect(F.transform(lines, line_key), "keys").alias("own"))
+    kept = F.filter("lines", lambda x: ~F.array_contains("own", line_key(x)) | (F.trim(x) == ""))
+    cleaned = held.select("row", F.size("lines").alias("n"), F.when(F.size("own") > 0, kept).alias("kept"))
     new_text = F.when(F.col("kept").isNull() | F.col("row")[text].isNull(), F.col("row")[text]).otherwise(
         F.array_join("kept", "\n")
     )
