@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import random
 
-#: Names that class and id attributes of each part of a page are built from.
+#: The generator's own choice: names that class and id attributes of each part of a page are built from.
 PARTS = {
     "content": "article post entry content story main body text page single blog news detail copy prose section column",
     "nav": "nav navigation navbar menu topnav breadcrumb breadcrumbs crumbs links toc pager pagination tabs mainmenu",

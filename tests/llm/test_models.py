@@ -1,3 +1,6 @@
+import html
+import re
+
 import numpy as np
 import pytest
 
@@ -194,3 +197,20 @@ def test_unclosed_tags_take_linear_time():
     for part in ("<a '>' ", '<a ">', "<a", "<ul><b><li></li>"):
         Tree(part * 30_000)
     assert time.process_time() - started < 30
+
+
+def article_text(source):
+    """What the markup of the pages table says: the blocks of its article element."""
+    body = re.search(r"<article[^>]*>(.*?)</article>", source, re.S)
+    blocks = re.split(r"</?(?:h\d|p|ul|ol|li|blockquote|div|section)\b[^>]*>", body[1] if body else "")
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
+def test_extraction_of_the_pages_table(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: article_text(r.html) for r in pages.collect()}
+    found = html_extract.extract(pages).collect()
+    assert len(found) == len(want) and sum(map(len, want.values())) > 10_000
+    assert {r.page_id: r.text for r in found} == want
+    assert all(r.n_chars == len(r.text) for r in found)
