@@ -4,7 +4,7 @@ Digests of whole normalised texts are written once as thin rows. A Misra-Gries s
 every partition finds the digests that may be frequent; their exact counts are taken
 (verified winners, at most ``counters`` + 1 rows) and broadcast, so that the copies of hot texts are
 resolved map-side and never meet in one task. All other digests are grouped by one shuffle; none of
-them has more than 2 / (``counters`` + 1) of the rows.
+them has more than 2 / (``counters`` + 1) of the rows, and even these are aggregated map-side and joined back, so that no task holds a group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import string
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
@@ -89,10 +89,8 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
         "winners",
     )
     hot = rows.join(F.broadcast(verified), "digest")
-    alike = Window.partitionBy("digest")
-    cold = rows.join(F.broadcast(verified.select("digest")), "digest", "left_anti").select(
-        "*", best.over(alike).alias("best"), size.over(alike).alias("group_size")
-    )
+    rest = rows.join(F.broadcast(verified.select("digest")), "digest", "left_anti")
+    cold = rest.join(rest.groupBy("digest").agg(best.alias("best"), size.alias("group_size")), "digest")
     return hot.unionByName(cold).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
