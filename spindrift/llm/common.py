@@ -18,10 +18,13 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set; elsewhere that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -69,15 +72,21 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-#: Rows that travel to a Python worker at once: texts can be long, and a worker holds a batch in several forms.
-ARROW_ROWS = 1000
+#: Rows, and bytes, that travel to a Python worker at once: texts can be long, and a worker holds a batch in several forms.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with small batches, and memory given back when a task ends (idle workers stay alive)."""
+    """``df.mapInArrow`` with small batches, and memory given back when a task ends (idle workers stay alive).
+
+    Spark reads the size of batches from the session when a plan runs, so the session's bounds are lowered, and stay so.
+    """
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
     def run(batches):
         try:

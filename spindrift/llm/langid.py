@@ -22,8 +22,8 @@ DIMENSION = 1024
 TRAIN_DOCS = 4096
 UNKNOWN = "und"
 SEED = 7
-#: Trigram vectors that a worker keeps.
-CACHE = 1 << 14
+#: Trigram vectors, and letter vectors, that a worker keeps.
+CACHE, LETTERS = 1 << 14, 1 << 12
 _PIECE = 1 << 20
 
 
@@ -40,6 +40,8 @@ class Encoder:
     def letter(self, code: int) -> np.ndarray:
         vector = self.letters.get(code)
         if vector is None:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
             noise = np.random.Generator(np.random.PCG64(zlib.crc32(f"{self.seed}:{code}".encode())))
             vector = self.letters[code] = noise.integers(0, 2, self.dimension).astype(np.float32) * 2 - 1
         return vector
@@ -98,7 +100,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
     low = ranked.join(broadcast_if_small(totals), "lang").where(place <= 1.2 * per_language + 100)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
-    ids = chosen.select("doc_id").distinct()
+    ids = broadcast_if_small(materialize(chosen.select("doc_id").distinct(), "training-ids"))
 
     def bundle(batches):
         encoder = Encoder(dimension, seed)
@@ -113,7 +115,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, dimension: int = DIME
             names=["lang", "v"],
         )
 
-    some = docs.where(~held_out() & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
+    some = docs.where(~held_out() & F.col("lang").isNotNull()).join(ids, "doc_id", "left_semi")
     rows = map_arrow(some.select("lang", "text"), bundle, "lang string, v array<double>")
     summed = rows.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     totals: dict[str, np.ndarray] = {}
