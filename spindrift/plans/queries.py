@@ -44,6 +44,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The SQL of searches rounds distances and scores to these digits before it ranks them.
+_SQL_DIGITS = 6
+
 # --- vectors
 
 _ROWS = "SELECT vec_id, label, embedding FROM embeddings"
@@ -132,7 +135,7 @@ def _asked(spark, text: str) -> DataFrame:
 @query(f"""WITH asked AS (SELECT 0 AS query_id, unnest(['the', 'hethnd', 'tionre']) AS term), {_BM25}
   SELECT doc_id, score, rank FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return bm25.bm25_search(_docs(spark, d), _asked(spark, "The hethnd TIONRE"), 10, "doc_id", "text").select("doc_id", "score", "rank")
+    return bm25.bm25_search(_docs(spark, d), _asked(spark, "The hethnd TIONRE"), 10, "doc_id", "text", order_digits=_SQL_DIGITS).select("doc_id", "score", "rank")
 
 
 def _chunks(spark, d) -> DataFrame:
@@ -160,7 +163,7 @@ def _items(spark, d):
 
 @query(f"WITH {_ITEMS}, {_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
 def bm25_batch(spark, d):
-    return bm25.bm25_search(_docs(spark, d), _items(spark, d), 5, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
+    return bm25.bm25_search(_docs(spark, d), _items(spark, d), 5, "doc_id", "text", order_digits=_SQL_DIGITS).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_ITEMS}, {_BM25} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
@@ -170,7 +173,7 @@ def bm25_index_batch(spark, d):
     keywords = KeywordIndex(spark, f"{store.paths.root}/keywords")
     keywords.refresh(store)
     posted, lengths = (t.withColumn("doc_id", F.col("id").cast("long")) for t in keywords.tables())
-    return bm25.bm25_search_index(posted, lengths, _items(spark, d), 5, "doc_id").select("query_id", "doc_id", "score", "rank")
+    return bm25.bm25_search_index(posted, lengths, _items(spark, d), 5, "doc_id", order_digits=_SQL_DIGITS).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1")
@@ -244,7 +247,7 @@ def rrf_score(spark, d):
 def hybrid_topk(spark, d):
     rows = _embeddings(spark, d)
     near = vector.vector_topk(rows, _first_vector(rows), 30, "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
-    words = bm25.bm25_search(_docs(spark, d), _asked(spark, "the of hethnd"), 30, "doc_id", "text")
+    words = bm25.bm25_search(_docs(spark, d), _asked(spark, "the of hethnd"), 30, "doc_id", "text", order_digits=_SQL_DIGITS)
     lists = fusion.ranked(near, ["distance", "doc_id"]).select("doc_id", "rank"), words.select("doc_id", "rank")
     return fusion.hybrid(*lists, ["doc_id"], 10).select("doc_id", "score")
 
@@ -590,7 +593,7 @@ def watch_then_bm25(spark, d):
     """Keyword search over an index that was refreshed after changes."""
     _, keywords, _ = _changed_store(spark, d)
     posted, lengths = (t.withColumn("doc_id", F.col("id").cast("long")) for t in keywords.tables())
-    return bm25.bm25_search_index(posted, lengths, _asked(spark, "the changed hethnd"), 20, "doc_id").select("doc_id", "score", "rank")
+    return bm25.bm25_search_index(posted, lengths, _asked(spark, "the changed hethnd"), 20, "doc_id", order_digits=_SQL_DIGITS).select("doc_id", "score", "rank")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT source) AS sources FROM documents WHERE lang = 'en'")
