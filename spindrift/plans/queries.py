@@ -67,7 +67,7 @@ def _first_vector(rows: DataFrame):
 @query(f"SELECT vec_id, label, distance, round(1 / (1 + distance), 6) AS score FROM ({_NEAR}) ORDER BY distance, vec_id LIMIT 10")
 def vector_topk(spark, d):
     rows = _embeddings(spark, d)
-    found = vector.vector_topk(rows, _first_vector(rows), 10, "vec_id", "embedding")
+    found = vector.vector_topk(rows, _first_vector(rows), 10, "vec_id", "embedding", order_digits=_SQL_DIGITS)
     return found.select("vec_id", "label", "distance", "score")
 
 
@@ -76,7 +76,7 @@ def vector_topk(spark, d):
   FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY distance, vec_id LIMIT 10""")
 def vector_topk_cosine(spark, d):
     rows = _embeddings(spark, d)
-    return vector.vector_topk(rows, _first_vector(rows), 10, "vec_id", "embedding", "cosine").select("vec_id", "distance")
+    return vector.vector_topk(rows, _first_vector(rows), 10, "vec_id", "embedding", "cosine", order_digits=_SQL_DIGITS).select("vec_id", "distance")
 
 
 _BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id AS key, round({_D2.format(a='e.embedding', b='q.embedding')}, 6) AS distance
@@ -88,7 +88,7 @@ def _batch(spark, d, k: int) -> DataFrame:
     """The stated query set of a search: the rows whose id is divisible by 100."""
     rows = _embeddings(spark, d)
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.vector_topk_batch(rows, asked, k, "vec_id", "embedding")
+    return vector.vector_topk_batch(rows, asked, k, "vec_id", "embedding", order_digits=_SQL_DIGITS)
 
 
 @query(f"SELECT query_id, key, distance, round(1 / (1 + distance), 6) AS score, rank FROM ({_BATCH_RANKED}) WHERE rank <= 10")
@@ -101,7 +101,7 @@ def vector_topk_batch(spark, d):
   SELECT vec_id, label, score FROM best WHERE n = 1 ORDER BY score DESC, vec_id LIMIT 5""")
 def vector_unique_files(spark, d):
     rows = _embeddings(spark, d)
-    near = vector.vector_topk(rows, _first_vector(rows), 15, "vec_id", "embedding")
+    near = vector.vector_topk(rows, _first_vector(rows), 15, "vec_id", "embedding", order_digits=_SQL_DIGITS)
     return vector.unique_files(near, 5, "label", key="vec_id").select("vec_id", "label", "score")
 
 
@@ -246,7 +246,7 @@ def rrf_score(spark, d):
   SELECT doc_id, round(sum(part), 9) AS score FROM fused GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10""")
 def hybrid_topk(spark, d):
     rows = _embeddings(spark, d)
-    near = vector.vector_topk(rows, _first_vector(rows), 30, "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
+    near = vector.vector_topk(rows, _first_vector(rows), 30, "vec_id", "embedding", order_digits=_SQL_DIGITS).withColumnRenamed("vec_id", "doc_id")
     words = bm25.bm25_search(_docs(spark, d), _asked(spark, "the of hethnd"), 30, "doc_id", "text", order_digits=_SQL_DIGITS)
     lists = fusion.ranked(near, ["distance", "doc_id"]).select("doc_id", "rank"), words.select("doc_id", "rank")
     return fusion.hybrid(*lists, ["doc_id"], 10).select("doc_id", "score")
@@ -381,7 +381,7 @@ def references_without_definition(spark, d):
   FROM (SELECT * FROM ({_NEAR}) ORDER BY distance, vec_id LIMIT 50) v JOIN {_FILES} f ON f.doc_id = v.vec_id""")
 def find_references_vector(spark, d):
     rows = _embeddings(spark, d)
-    near = vector.vector_topk(rows, _first_vector(rows), 50, "vec_id", "embedding")
+    near = vector.vector_topk(rows, _first_vector(rows), 50, "vec_id", "embedding", order_digits=_SQL_DIGITS)
     hits = near.join(_files(spark, d), F.col("doc_id") == F.col("vec_id"))
     return symbols.references_vector(hits).select("file_path", "distance", "line_content")
 
@@ -846,7 +846,7 @@ def semantic_topk(spark, d):
     """A text query: embedded by the provider, then the nearest documents."""
     provider = HashProvider(64)
     rows = embed(_docs(spark, d), provider, "text").select("doc_id", "vector")
-    return vector.vector_topk(rows, provider.embed_query("open a connection"), 10, "doc_id").select("doc_id", "distance", "score")
+    return vector.vector_topk(rows, provider.embed_query("open a connection"), 10, "doc_id", order_digits=_SQL_DIGITS).select("doc_id", "distance", "score")
 
 
 @query("""SELECT s_suppkey, lower(regexp_replace(s_name, '[^\\p{L}\\p{N}_-]', '-', 'g')) || '-' || substr(md5('/work/' || s_name), 1, 8) AS project_id FROM supplier""")

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import parity
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,13 @@ def test_bytes_round_their_binary_value(spark):
     sql = SQL["human_bytes"].replace("o_custkey * o_custkey * o_orderkey", "o_orderkey").replace("FROM orders", "FROM sized")
     rows = spark.createDataFrame([(s,) for s in [*sizes, None]], "o_orderkey long")
     assert parity.differences(rows.select("o_orderkey", human_bytes(F.col("o_orderkey")).alias("size")), con, sql) is None
+
+
+@pytest.mark.parametrize("name", ["vector_topk_batch", "vector_topk", "vector_topk_cosine"])
+def test_distances_that_tie_in_sql_go_by_key(spark, tables, name):
+    """Near copies: their distances differ in digits that the SQL does not rank by."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(10, 16)) / 4
+    rows = [(i, (base[i % 10] + rng.normal(size=16) * 1e-5).tolist(), i % 5) for i in range(400)]
+    d = tables(embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert parity.differences(QUERIES[name](spark, d), parity.connect(d), SQL[name]) is None
